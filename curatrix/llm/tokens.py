@@ -45,7 +45,7 @@ def _simple(text: str) -> bool:
 class Encoder:
     """Encode texts to little-endian 32-bit ids, as ``encode(text, add_special_tokens=False)`` does."""
 
-    def __init__(self, vocabulary: str, cached: int = 700_000) -> None:
+    def __init__(self, vocabulary: str, cached: int = 1_000_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
