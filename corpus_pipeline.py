@@ -40,8 +40,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all documents' tokens in sequences of 2048."""
-    return packing.pack_documents(docs, end_id=0, size=2048, include_ids=False)
+    """Places of all documents' tokens in sequences of 2048.
+
+    Workers still hold what earlier stages left, so the encoder remembers less.
+    """
+    return packing.pack_documents(docs, end_id=0, size=2048, include_ids=False, cached_pieces=400_000)
 
 
 STAGES = [("quality", keep_good), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_benchmark_passages), ("secrets", redact_secrets), ("packing", pack)]

@@ -57,6 +57,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def release() -> None:
+    """Give the power tables back; the next use builds them anew."""
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 class Block(NamedTuple):
     """Adjacent texts of one Arrow batch: rows ``first`` to ``first + len(bounds) - 1``."""
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.tokens import Encoder, encoded
+from curatrix.llm.tokens import CACHED, Encoder, encoded
 from curatrix.session import materialize, ship_package
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -109,20 +109,21 @@ def _pack(size: int, bins: int) -> Callable:
     return run
 
 
-def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 0, size: int = 2048, bins: int = 4096, rows_per_task: int = 200_000, include_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 0, size: int = 2048, bins: int = 4096, rows_per_task: int = 200_000, include_ids: bool = True, cached_pieces: int = CACHED) -> DataFrame:
     """Pieces of all documents with their places: ``doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset``.
 
     Each document is its ids and then ``end_id``; null texts count as empty and
     hold ``end_id`` alone.  ``sequence_id`` numbers are unique, not gapless;
     offsets of a sequence's pieces are gapless from 0.  Repeated rows are packed
     each on their own, rows without ``doc_id`` too.  An empty table gives no
-    rows.  Other columns are ignored.
+    rows.  Other columns are ignored.  ``cached_pieces`` bounds the encoder's memory
+    in each worker (some 220 MB a million).
     """
     spark = docs.sparkSession
     ship_package(spark)
     schema = PIECES + (", ids array<int>" if include_ids else "")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = materialize(encoded(rows, tokenizer, _cut(end_id, size, include_ids), schema), "pieces")
+    pieces = materialize(encoded(rows, tokenizer, _cut(end_id, size, include_ids), schema, cached_pieces), "pieces")
     tasks = max(1, -(-pieces.count() // rows_per_task))
     order = ("doc_id", "piece", "ids_crc32")
     dealt = pieces.repartition(tasks, F.xxhash64(*order)).sortWithinPartitions(F.xxhash64(*order), *order)

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from curatrix.llm import kernels
+
 #: Letters whose lower case is one letter, as far as the fast path goes.
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įĲ-ʯ]+")
 _STOP = {".", ",", ";", ":", "!", "?"}
@@ -50,7 +52,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._lib = Tokenizer.from_str(vocabulary)
-        self._cached = cached
+        self.cached = cached
         self._stop = {w: np.array(self._lib.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in _STOP}
         self._ids: dict[str, bytes] = {}
         model = json.loads(vocabulary)
@@ -107,9 +109,9 @@ class Encoder:
         pieces = (text.lower() if _simple(text) else text).split()
         got = list(map(self._ids.get, pieces))
         if None in got:
-            if len(self._ids) > self._cached:
+            if len(self._ids) > self.cached:
                 self._ids = {w: v for w, v in self._ids.items() if len(w) < 7}  # short pieces recur most
-                if len(self._ids) > self._cached // 2:
+                if len(self._ids) > self.cached // 2:
                     self._ids = {}
             miss = [i for i, g in enumerate(got) if g is None]
             new = {pieces[i] for i in miss}
@@ -119,23 +121,29 @@ class Encoder:
         return b"".join(got)
 
 
+#: Pieces a worker remembers unless told otherwise: about 220 MB.
+CACHED = 1_000_000
+
 _encoders: dict[int, Encoder] = {}
 
 
-def encoder(vocabulary: str) -> Encoder:
+def encoder(vocabulary: str, cached: int = CACHED) -> Encoder:
     """One encoder for each vocabulary and worker, so that later tasks find its cache filled."""
     key = zlib.crc32(vocabulary.encode())
     if key not in _encoders:
+        kernels.release()
+        pa.default_memory_pool().release_unused()
         _encoders[key] = Encoder(vocabulary)
+    _encoders[key].cached = cached
     return _encoders[key]
 
 
-def encoded(docs: DataFrame, tokenizer: str | None, emit: Callable[[Encoder], Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str | None, emit: Callable[[Encoder], Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]], schema: str, cached: int = CACHED) -> DataFrame:
     """Apply ``emit(encoder)`` to the batches of ``docs``; the vocabulary (a few MB) is broadcast."""
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from emit(encoder(vocabulary.value))(batches)
+        yield from emit(encoder(vocabulary.value, cached))(batches)
 
     return docs.mapInArrow(run, schema)
