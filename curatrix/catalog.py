@@ -470,14 +470,15 @@ def roi_mean(spark, d):
     return O.pool(rows).select("sample_id", F.round(F.array_max("embedding"), 9).alias("top"), F.size("embedding").alias("n"))
 
 
-_BOX_SQL = """g AS (SELECT l_orderkey AS sample_id, l_linenumber AS id, l_returnflag AS label, l_linenumber / 10.0::DOUBLE AS x, 0.08::DOUBLE AS w FROM lineitem),
-p AS (SELECT l_orderkey AS sample_id, l_linenumber AS id, CASE WHEN l_partkey % 5 = 0 THEN 'X' ELSE l_returnflag END AS label, l_linenumber / 10.0::DOUBLE + (l_suppkey % 8) / 100.0::DOUBLE AS x, 0.08::DOUBLE AS w, (l_partkey % 100) / 100.0::DOUBLE AS c FROM lineitem),
+_BOX_SQL = """l AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2),
+g AS (SELECT l_orderkey AS sample_id, l_linenumber AS id, l_returnflag AS label, l_linenumber / 10.0::DOUBLE AS x, 0.08::DOUBLE AS w FROM l),
+p AS (SELECT l_orderkey AS sample_id, l_linenumber AS id, CASE WHEN l_partkey % 5 = 0 THEN 'X' ELSE l_returnflag END AS label, l_linenumber / 10.0::DOUBLE + (l_suppkey % 8) / 100.0::DOUBLE AS x, 0.08::DOUBLE AS w, (l_partkey % 100) / 100.0::DOUBLE AS c FROM l),
 pairs AS (SELECT g.sample_id, g.id, g.label, p.label AS plabel, p.c, round(greatest(least(g.x + g.w, p.x + p.w) - greatest(g.x, p.x), 0) * 0.5::DOUBLE / (0.08::DOUBLE * 0.5 + 0.08::DOUBLE * 0.5 - greatest(least(g.x + g.w, p.x + p.w) - greatest(g.x, p.x), 0) * 0.5::DOUBLE), 9) AS iou FROM g JOIN p ON g.sample_id = p.sample_id AND g.id = p.id)"""
 
 
 def _boxes(spark, d) -> tuple[DataFrame, DataFrame]:
     """Boxes of an order stand apart, so a prediction overlaps at most the box that it was shifted from by half."""
-    li = _t(spark, d, "lineitem")
+    li = _t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_returnflag", "l_partkey", "l_suppkey")])
     x = F.col("l_linenumber") / 10.0
 
     def box(left):

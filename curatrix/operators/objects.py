@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.functions import vectors as V
@@ -59,25 +58,23 @@ def match_boxes(gt: DataFrame, pred: DataFrame, *, limit: float = 0.5) -> DataFr
 
     Inputs are ``(sample_id, id, bounding_box[, confidence])``.  Pairs that
     overlap by ``limit`` come from an equi-join on the sample; then predictions
-    take, by falling confidence, the free box that they overlap most, sample by
-    sample.  Ties go to the smaller id.
+    take, by falling confidence, the free box that they overlap most, in one fold
+    over a sample's ordered pairs.  Ties go to the smaller id.
     """
     g = gt.select("sample_id", F.col("id").alias("gt_id"), F.col("bounding_box").alias("g"))
     p = pred.select("sample_id", F.col("id").alias("pred_id"), F.col("confidence").alias("c"), F.col("bounding_box").alias("p"))
     pairs = g.join(p, "sample_id").select("sample_id", "gt_id", "pred_id", "c", F.round(iou(F.col("g"), F.col("p")), V.PLACES).alias("iou")).where(F.col("iou") >= limit)
 
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["c", "pred_id", "iou", "gt_id"], ascending=[False, True, False, True])
-        taken, done, keep = set(), set(), []
-        for i, (a, b) in enumerate(zip(rows.gt_id, rows.pred_id, strict=True)):
-            keep.append(a not in taken and b not in done)
-            if keep[-1]:
-                taken.add(a)
-                done.add(b)
-        return rows[keep][["sample_id", "gt_id", "pred_id", "iou"]]
-
+    best = F.struct(F.coalesce(-F.col("c"), F.lit(float("inf"))).alias("o"), "pred_id", (-F.col("iou")).alias("far"), "gt_id")
+    lists = pairs.groupBy("sample_id").agg(F.sort_array(F.collect_list(best)).alias("x"))
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-    return pairs.groupBy("sample_id").applyInPandas(assign, ", ".join(f"{c} {kinds[c]}" for c in ("sample_id", "gt_id", "pred_id", "iou")))
+    none = F.array().cast(f"array<struct<gt_id:{kinds['gt_id']},pred_id:{kinds['pred_id']},iou:double>>")
+
+    def take(done: Column, x: Column) -> Column:
+        own = F.struct(x["gt_id"].alias("gt_id"), x["pred_id"].alias("pred_id"), (-x["far"]).alias("iou"))
+        return F.when(F.exists(done, lambda y: (y["gt_id"] == x["gt_id"]) | (y["pred_id"] == x["pred_id"])), done).otherwise(F.concat(done, F.array(own)))
+
+    return lists.select("sample_id", F.explode(F.aggregate("x", none, take)).alias("m")).select("sample_id", "m.*")
 
 
 def object_mistakenness(gt: DataFrame, pred: DataFrame, *, limit: float = 0.5, confident: float = 0.95, use_logits: bool = False) -> DataFrame:
