@@ -2,8 +2,8 @@
 
 The word-level BPE vocabulary never merges across white space, so a text's ids
 are those of its white-space pieces in order.  Pieces recur, so each worker
-keeps a bounded dictionary from piece to ids and asks the library only for new
-ones, many at a time.  Texts holding signs on which Python and the library
+keeps a bounded dictionary from piece to ids and asks the library's model only
+for new ones.  Texts holding signs on which Python and the library
 disagree about white space, or the marker of special tokens, go to the library
 whole.
 """
@@ -15,7 +15,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +23,15 @@ from pyspark.sql import DataFrame
 
 from curatrix.llm import kernels
 
-#: Letters whose lower case is one letter, as far as the fast path goes.
-_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įĲ-ʯ]+")
-_STOP = {".", ",", ";", ":", "!", "?"}
+#: Signs that NFC leaves alone, whose lower case is one sign, and on whose class all Unicode versions agree.
+_LETTER = "A-Za-zÀ-ÖØ-öø-įĲ-ʯ"
+_PLAIN = re.compile(f"[!-~{_LETTER}‐-‧‰-⁞€]+")
+#: The vocabulary's own pattern, for these signs.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD = re.compile(_PATTERN.replace(r"[\p{N}]", "[0-9]").replace(r"\p{L}", _LETTER).replace(r"\p{N}", "0-9"))
+_SAME = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: How byte-level vocabularies spell bytes: those that are no printable sign follow from 256 on.
+_SPELLED = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_SAME)))}
 _ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 _LONG = 64
 
@@ -52,61 +58,45 @@ def _bytes(ids: list[int]) -> bytes:
 class Encoder:
     """Encode texts to little-endian 32-bit ids, as ``encode(text, add_special_tokens=False)`` does."""
 
-    def __init__(self, vocabulary: str, cached: int = 700_000) -> None:
+    def __init__(self, vocabulary: str, cached: int = 600_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._lib = Tokenizer.from_str(vocabulary)
         self.cached = cached
-        self._stop = {w: np.array(self._lib.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in _STOP}
         self._ids: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
+        self._tokenize = self._lib.model.tokenize
         model = json.loads(vocabulary)
+        steps = model["normalizer"]["normalizers"] if model["normalizer"] else []
+        split = (model["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
         #: Piece by piece is exact only where white space is dropped and words end in a suffix.
-        self._by_piece = model["model"].get("end_of_word_suffix") == "</w>" and [n["type"] for n in model["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
-        ids = model["model"]["vocab"]
-        self._last = np.zeros(max(ids.values()) + 1 + len(model["added_tokens"]), bool)
-        if self._by_piece:
-            self._last[[i for t, i in ids.items() if t.endswith("</w>")]] = True
+        self._by_piece = model["model"].get("end_of_word_suffix") == "</w>" and [n["type"] for n in steps] == ["NFC", "Replace", "Lowercase"] and split == _PATTERN
 
     def _whole(self, text: str) -> bytes:
         return _bytes(self._lib.encode(text, add_special_tokens=False).ids)
 
-    def _learn_plain(self, new: list[str]) -> None:
-        out = np.array(self._lib.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-        raw = out.tobytes()
-        edge = [0, *(np.flatnonzero(self._last[out]) + 1).tolist()]
-        if len(edge) != len(new) + 1:  # a word that the library splits
-            for w in new:
-                self._ids[w] = self._whole(w)
-            return
-        for w, lo, hi in zip(new, edge[:-1], edge[1:], strict=True):
-            self._ids[w] = raw[4 * lo : 4 * hi]
-
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that are not cached; all but very long ones are then."""
-        ids, older, plain, odd, cut, known = self._ids, self._older, [], [], [], {}
+    def _word(self, word: str) -> bytes:
+        """Ids of one lower-case word of the pattern."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_SPELLED)
+        return _bytes([t.id for t in self._tokenize(word)])
+
+    def _learn(self, new: Iterable[str]) -> dict[str, bytes]:
+        """Cache the ids of pieces; those of very long ones are returned instead."""
+        ids, word, odd, known = self._ids, self._word, [], {}
         for w in new:
             if len(w) > _LONG:
                 known[w] = self._whole(w)
-            elif w.isalpha() and (w.isascii() or _PLAIN.fullmatch(w)):
-                plain.append(w)
-            elif w[-1] in _STOP and (head := w[:-1]).isalpha() and (head.isascii() or _PLAIN.fullmatch(head)):
-                cut.append((w, head))
-                if head not in ids:
-                    if head in older:
-                        ids[head] = older[head]
-                    else:
-                        plain.append(head)
+            elif w.isascii() and w.isalpha():
+                ids[w] = word(w.lower())
+            elif _PLAIN.fullmatch(w):
+                ids[w] = b"".join([ids.get(x) or word(x) for x in _WORD.findall(w.lower())])
             else:
                 odd.append(w)
-        if plain:
-            self._learn_plain(list(dict.fromkeys(plain)))
         if odd:
             for w, e in zip(odd, self._lib.encode_batch_fast(odd, add_special_tokens=False), strict=True):
                 ids[w] = _bytes(e.ids)
-        for w, head in cut:
-            ids[w] = ids[head] + self._stop[w[-1]]
         return known
 
     def encode(self, text: str) -> bytes:
@@ -133,8 +123,8 @@ class Encoder:
         return b"".join(got)
 
 
-#: Pieces a worker remembers unless told otherwise, in two halves: about 150 MB.
-CACHED = 700_000
+#: Pieces a worker remembers unless told otherwise, in two halves: about 130 MB.
+CACHED = 600_000
 
 _encoders: dict[int, Encoder] = {}
 
