@@ -90,8 +90,8 @@ class Encoder:
                 known[w] = self._whole(w)
             elif w.isascii() and w.isalpha():
                 ids[w] = word(w.lower())
-            elif _PLAIN.fullmatch(w):
-                ids[w] = b"".join([ids.get(x) or word(x) for x in _WORD.findall(w.lower())])
+            elif _PLAIN.fullmatch(low := w.lower()) and (low == w or _PLAIN.fullmatch(w)):
+                ids[w] = b"".join([ids.get(x) or word(x) for x in _WORD.findall(low)])
             else:
                 odd.append(w)
         if odd:
