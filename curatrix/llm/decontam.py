@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.llm import kernels as K
+from curatrix.llm import workers
 from curatrix.session import ship_package
 
 Items = list[tuple[str, list[bytes]]]
@@ -209,6 +210,15 @@ def _search(items: Items, window: int) -> Callable:
     return run
 
 
+def _release() -> None:
+    _built.clear()
+    K.release()
+
+
+def _task(run: Callable) -> Callable:
+    return workers.task("decontamination", run, _release)
+
+
 def item_groups(benchmark: DataFrame, automaton_words: int) -> Iterator[Items]:
     """Items as (id, words) in groups of at most ``automaton_words`` words or one item; null ids read as ''.
 
@@ -240,10 +250,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     groups = list(item_groups(benchmark, automaton_words))
     if len(groups) == 1:
-        return rows.mapInArrow(_search(groups[0], window), FOUND)
+        return rows.mapInArrow(_task(_search(groups[0], window)), FOUND)
     # One pass for each group over rows that carry a key; then spans are joined for each distinct row.
     keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("_k"))
-    passes = [keyed.mapInArrow(_search(g, window), f"{FOUND}, _k long") for g in groups]
+    passes = [keyed.mapInArrow(_task(_search(g, window)), f"{FOUND}, _k long") for g in groups]
     every = passes[0]
     for p in passes[1:]:
         every = every.unionByName(p)
@@ -291,7 +301,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, ma
     out = docs
     for group in groups:  # a pass for each group of items; one for benchmarks up to the bound
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        out = out.mapInArrow(_clean(group, window, max_share, out.columns.index("text"), out.columns.index("n_chars") if "n_chars" in out.columns else -1), schema)
+        out = out.mapInArrow(_task(_clean(group, window, max_share, out.columns.index("text"), out.columns.index("n_chars") if "n_chars" in out.columns else -1)), schema)
     return out
 
 

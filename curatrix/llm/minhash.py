@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from curatrix.llm import kernels as K
+from curatrix.llm import workers
 from curatrix.llm.components import connected_components
 from curatrix.session import drop_scratch, materialize, ship_package
 
@@ -226,6 +227,10 @@ def _dealt(df: DataFrame, blocks: F.Column) -> DataFrame:
     return dealt.withColumn("bi", F.col("_p.bi")).withColumn("bj", F.col("_p.bj")).drop("_p")
 
 
+def _task(run: Callable) -> Callable:
+    return workers.task("minhash", run, K.release)
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -255,13 +260,13 @@ def near_duplicates(
     need = matches_needed(coordinates, percent, miss)
     prefix = coordinates - need + 1
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(docs.mapInArrow(_sign(classes, shingle, coordinates), "doc_id long, n long, digest binary, sig binary"), "signed")
+    signed = materialize(docs.mapInArrow(_task(_sign(classes, shingle, coordinates)), "doc_id long, n long, digest binary, sig binary"), "signed")
     reps = materialize(
         signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")),
         "reps",
     )
 
-    posts = reps.select("node", "sig").mapInArrow(_post(coordinates), "node long, key long")
+    posts = reps.select("node", "sig").mapInArrow(_task(_post(coordinates)), "node long, key long")
     often = posts.groupBy("key").agg(F.count("*").alias("freq")).where("freq > 1")
     by_node = W.partitionBy("node")
     kept = (
@@ -272,16 +277,16 @@ def near_duplicates(
     )
     lists = _dealt(kept.select("node", "key", "freq"), F.ceil(F.col("freq") / list_rows)).select("node", "key", "bi", "bj")
     lists = lists.join(reps.select("node", "sig"), "node").select("key", "bi", "bj", "node", "sig")
-    forest = lists.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "node").mapInArrow(_agree(coordinates, need), "a long, b long")
+    forest = lists.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "node").mapInArrow(_task(_agree(coordinates, need)), "a long, b long")
     candidates = materialize(connected_components(forest), "candidates")
 
     sized = candidates.join(reps.groupBy("node").agg(F.sum("n").alias("n")), "node")
     groups = sized.groupBy("component").agg((F.sum("n") * 8).alias("bytes"))
     plan = materialize(_dealt(sized.join(groups, "component"), F.ceil(F.col("bytes") / group_bytes)).select("component", "bi", "bj", "node", "bytes"), "plan")
     wanted = plan.select("node").distinct()
-    sets = docs.join(wanted, docs.doc_id == wanted.node, "left_semi").mapInArrow(_sets(classes, shingle), "node long, set binary")
+    sets = docs.join(wanted, docs.doc_id == wanted.node, "left_semi").mapInArrow(_task(_sets(classes, shingle)), "node long, set binary")
     full = plan.join(sets, "node").select("component", "bi", "bj", "node", "set")
-    links = full.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj", "node").mapInArrow(_confirm(percent), "a long, b long")
+    links = full.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj", "node").mapInArrow(_task(_confirm(percent)), "a long, b long")
     linked = connected_components(links)
 
     classes_of = reps.select("digest", "node").join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))

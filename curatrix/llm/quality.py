@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.llm import kernels as K
-from curatrix.llm import labelled
+from curatrix.llm import labelled, workers
 from curatrix.session import ship_package
 
 DIM, SIGNS, WINDOW, SLOTS = 48, 4, 2, 1 << 16
@@ -59,6 +59,11 @@ def _index_vectors() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _tables: list[np.ndarray] = []
 
 
+def _release() -> None:
+    _tables.clear()
+    K.release()
+
+
 def index_table() -> np.ndarray:
     if not _tables:
         _tables.extend(_index_vectors())
@@ -204,7 +209,7 @@ def _apply(shared, text_at: int, least: float | None) -> Callable:
             else:
                 yield batch.filter(pa.array(s >= least))
 
-    return run
+    return workers.task("quality", run, _release)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.llm import workers
 from curatrix.session import ship_package
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -138,6 +139,10 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def _nothing() -> None:
+    """Tasks keep no tables."""
+
+
 def _scan() -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +169,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scan(), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return rows.mapInArrow(workers.task("secrets", _scan(), _nothing), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def _redact(text_at: int, chars_at: int) -> Callable:
@@ -194,4 +199,4 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     """
     ship_package(docs.sparkSession)
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
-    return docs.mapInArrow(_redact(docs.columns.index("text"), chars), docs.schema)
+    return docs.mapInArrow(workers.task("secrets", _redact(docs.columns.index("text"), chars), _nothing), docs.schema)

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from curatrix.llm import kernels
+from curatrix.llm import workers
 
 #: Signs that NFC leaves alone, whose lower case is one sign, and on whose class all Unicode versions agree.
 _LETTER = "A-Za-zÀ-ÖØ-öø-įĲ-ʯ"
@@ -133,8 +133,6 @@ def encoder(vocabulary: str, cached: int = CACHED) -> Encoder:
     """One encoder for each vocabulary and worker, so that later tasks find its cache filled."""
     key = zlib.crc32(vocabulary.encode())
     if key not in _encoders:
-        kernels.release()
-        pa.default_memory_pool().release_unused()
         _encoders[key] = Encoder(vocabulary)
     _encoders[key].cached = cached
     return _encoders[key]
@@ -148,4 +146,4 @@ def encoded(docs: DataFrame, tokenizer: str | None, emit: Callable[[Encoder], Ca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emit(encoder(vocabulary.value, cached))(batches)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(workers.task("tokens", run, _encoders.clear), schema)

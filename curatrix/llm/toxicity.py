@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm import labelled
+from curatrix.llm import labelled, workers
 from curatrix.session import ship_package
 
 SIZES = (3, 4, 5)
@@ -116,6 +116,10 @@ def score(model: Model, texts: list[str | None]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _nothing() -> None:
+    """Tasks keep no tables."""
+
+
 def _apply(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, bias = shared.value
@@ -139,4 +143,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, rows: int = 4000, text
     model = fit(data.text.tolist(), data.y.to_numpy())
     shared = spark.sparkContext.broadcast(tuple(model))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_apply(shared), "doc_id long, score double")
+    return texts.mapInArrow(workers.task("toxicity", _apply(shared), _nothing), "doc_id long, score double")
