@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.functions import boxes
+from curatrix.functions import ids as I
 from curatrix.functions import vectors as V
 from curatrix.operators import duplicates as D
 from curatrix.operators import neighbors as N
@@ -125,6 +126,7 @@ _DISTANCES = {
     "euclidean": "list_distance({a}, {b})",
     "dotproduct": "-list_inner_product({a}, {b})",
     "l1": "list_sum(list_transform(list_zip({a}, {b}), lambda z: abs(z[1] - z[2])))",
+    "innerproduct": "-list_inner_product({a}, {b})",
     "hamming": "list_sum(list_transform(list_zip({a}, {b}), lambda z: CASE WHEN z[1] <> z[2] THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END))",
 }
 
@@ -145,6 +147,18 @@ for _name, _agg in _DISTANCES.items():
     _metric(_name, _agg)
 
 
+_BITS = "list_transform(embedding::DOUBLE[], lambda x: CASE WHEN x > 0.1 THEN 1.0 ELSE 0.0 END)"
+
+
+@register(f"WITH e AS (SELECT vec_id AS id, {_BITS} AS v FROM embeddings), d AS (SELECT e.id, round(CASE WHEN list_max(e.v) + list_max(q.v) = 0 THEN 0.0 ELSE 1 - list_inner_product(e.v, q.v) / (list_sum(e.v) + list_sum(q.v) - list_inner_product(e.v, q.v)) END, 9)::DOUBLE AS dist FROM e, (SELECT v FROM e WHERE id = 5) q) SELECT id, row_number() OVER (ORDER BY dist, id)::INTEGER AS rank, dist FROM d ORDER BY dist, id LIMIT 10")
+def sim_jaccard(spark, d):
+    """Vectors as sets of the dimensions over 0.1."""
+    bits = F.transform(V.vector("embedding"), lambda x: F.when(x > 0.1, 1.0).otherwise(0.0))
+    i = build_index(_t(spark, d, "embeddings").withColumn("embedding", bits), "vec_id", "embedding", metric="jaccard", center=False)
+    asked = [list(r[0]) for r in i.rows.where("id = 5").select("embedding").collect()]
+    return N.sort_by_similarity(i, vectors=asked, k=10)
+
+
 @register(_top("CASE WHEN c.id = 3 THEN 0.0 ELSE round(list_cosine_distance(c.v, q.v), 9) END", where=", (SELECT v FROM c WHERE id = 3) q WHERE c.id BETWEEN 100 AND 299"))
 def sim_in_view(spark, d):
     """The query lies outside the view; distances are centred by the whole index."""
@@ -414,6 +428,13 @@ def vector_text_parse(spark, d):
     return rows.select("id", F.size("embedding").alias("n"), _total())
 
 
+@register("WITH h AS (SELECT o_orderkey, substr(md5(o_orderkey::VARCHAR), 1, 24) AS h FROM orders) SELECT o_orderkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 4) || '00000000' AS uuid, h AS back FROM h")
+def id_to_uuid(spark, d):
+    h = F.substring(F.md5(F.col("o_orderkey").cast("string").cast("binary")), 1, 24)
+    rows = _t(spark, d, "orders").select("o_orderkey", I.to_uuid(h).alias("uuid"))
+    return rows.withColumn("back", I.from_uuid(F.col("uuid")))
+
+
 @register("SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents")
 def content_hash(spark, d):
     raw = F.col("text").cast("binary")
@@ -543,6 +564,19 @@ def pca_incremental(spark, d):
     return half.add(i.rows.select("id", "embedding")).points.select("id", F.get("point", 0).alias("x"))
 
 
+@register()
+def tsne_projection(spark, d):
+    return Z.visualize(_index(spark, d), "tsne", max_iters=300).points.select("id", F.get("point", 0).alias("x"), F.get("point", 1).alias("y"))
+
+
+@register()
+def umap_projection(spark, d):
+    """A neighbour layout of half of the rows, extended by the rest."""
+    i = _index(spark, d)
+    half = Z.visualize(i.restrict(i.rows.where("id % 2 = 0")), "umap")
+    return half.add(i.rows.select("id", "embedding")).points.select("id", F.get("point", 0).alias("x"), F.get("point", 1).alias("y"))
+
+
 _PTS = "p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), b AS (SELECT least(min(x), min(y)) AS lo, greatest(max(x), max(y)) AS hi FROM p)"
 
 

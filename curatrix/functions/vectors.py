@@ -87,3 +87,10 @@ def entropy(p: Column) -> Column:
 def parse_vector(text: Column) -> Column:
     """``"[1,2]"`` as a vector; null if it isn't one."""
     return F.from_json(text, "array<double>")
+
+
+def euclidean_threshold(cosine: float) -> float:
+    """The Euclidean distance of unit vectors at a cosine distance."""
+    if cosine < 0:
+        raise ValueError("a cosine distance isn't negative")
+    return (2 * cosine) ** 0.5

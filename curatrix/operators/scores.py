@@ -6,7 +6,6 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from curatrix.functions import vectors as V
 from curatrix.operators.index import SimilarityIndex
@@ -63,9 +62,9 @@ def representativeness(index: SimilarityIndex, *, clusters: DataFrame | None = N
     score by 0.7 and divides by the largest result.
     """
     d = cluster_distances(index, clusters, k, seed)
-    top = F.max("dist").over(W.partitionBy("cluster"))
-    score = F.coalesce(F.col("dist") / F.nullif(top, F.lit(0.0)), F.lit(0.0))
-    out = d.select("id", F.round((1 - score) if invert else score, V.PLACES).alias("representativeness"))
+    tops = d.groupBy("cluster").agg(F.max("dist").alias("_top"))  # combined map-side; a window would put a cluster in one task
+    score = F.coalesce(F.col("dist") / F.nullif(F.col("_top"), F.lit(0.0)), F.lit(0.0))
+    out = d.join(tops, "cluster").select("id", F.round((1 - score) if invert else score, V.PLACES).alias("representativeness"))
     if not downweight:
         return out
     from curatrix.operators.neighbors import radius_neighbors
@@ -113,6 +112,11 @@ def location_mistakenness(iou: Column, c: Column, limit: float = 0.5) -> Column:
 
 
 def group_normalise(df: DataFrame, group: str, column: str) -> DataFrame:
-    """``column`` over its largest value in the group; groups without positive values give 0."""
-    top = F.max(column).over(W.partitionBy(group))
-    return df.withColumn(column, F.coalesce(F.col(column) / F.nullif(top, F.lit(0.0)), F.lit(0.0)))
+    """``column`` over its largest value in the group; groups without positive values give 0.
+
+    The largest values are aggregated map-side and joined back (a null group is
+    a group of its own): a window would put a hot group in one task.
+    """
+    tops = df.groupBy(F.col(group).alias("_g")).agg(F.max(column).alias("_top"))
+    joined = df.join(tops, F.col(group).eqNullSafe(F.col("_g")))
+    return joined.withColumn(column, F.coalesce(F.col(column) / F.nullif(F.col("_top"), F.lit(0.0)), F.lit(0.0))).select(*df.columns)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -12,25 +14,31 @@ from pyspark.sql import functions as F
 
 from curatrix.functions import vectors as V
 from curatrix.operators.index import SimilarityIndex
+from curatrix.session import ship_package
 
 METHODS = ("pca", "manual", "tsne", "umap")
-#: t-SNE and the neighbour layout hold all distances in memory.
-LAYOUT_ROWS = 5000
+#: t-SNE and the neighbour layout hold all distances of the rows that they are fitted on in memory; other rows are placed among those.
+LAYOUT_ROWS = 3000
 
 
 @dataclass(frozen=True)
 class Projection:
-    """``points(id, point)`` and, for PCA, the mean and components that made them."""
+    """``points(id, point)``, and what places further rows.
+
+    PCA has the mean and components, a layout its fitted vectors (centred) and
+    their points, ``LAYOUT_ROWS`` rows at most.
+    """
 
     points: DataFrame
     method: str
     mean: list[float] | None = None
     components: list[list[float]] | None = None
     trained_on: int = 0
+    anchors: tuple[np.ndarray, np.ndarray] | None = None
 
     @property
     def supports_updates(self) -> bool:
-        return self.components is not None
+        return self.components is not None or (self.method == "umap" and self.anchors is not None)
 
     def new_ids(self, rows: DataFrame) -> DataFrame:
         """Ids of ``rows(id)`` without a point."""
@@ -44,6 +52,8 @@ class Projection:
         return self.points.count() - self.trained_on > share * self.trained_on
 
     def project(self, rows: DataFrame) -> DataFrame:
+        if self.components is None:
+            return _placed(rows, self.mean, *self.anchors)
         centred = V.minus(V.vector("embedding"), V.literal(self.mean))
         return rows.select("id", F.array(*[V.dot(centred, V.literal(c)) for c in self.components]).alias("point"))
 
@@ -55,7 +65,7 @@ class Projection:
         if width is not None and width > 0 and width != len(self.mean):
             raise ValueError(f"vectors have {width} dimensions, the projection was fitted on {len(self.mean)}")
         fresh = rows.where("embedding is not null").dropDuplicates(["id"]).join(self.points.select("id"), "id", "left_anti")
-        return Projection(self.points.unionByName(self.project(fresh)), self.method, self.mean, self.components, self.trained_on)
+        return replace(self, points=self.points.unionByName(self.project(fresh)))
 
 
 def pca(index: SimilarityIndex, num_dims: int = 2) -> Projection:
@@ -137,23 +147,53 @@ def _neighbour_layout(x: np.ndarray, y: np.ndarray, neighbours: int, rounds: int
     return y
 
 
+def _placed(rows: DataFrame, mean: list[float], vectors: np.ndarray, points: np.ndarray, near: int = 5) -> DataFrame:
+    """Rows at the mean of their nearest anchors' points, weighted by inverse squared distance: ``id, point``."""
+    spark = rows.sparkSession
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast((np.asarray(mean), vectors, points))  # LAYOUT_ROWS rows at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, v, p = shared.value
+        size, k = (v**2).sum(1), min(near, len(v))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                x = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1) - centre
+                d = np.maximum((x**2).sum(1)[:, None] + size - 2 * x @ v.T, 0)
+                best = np.argpartition(d, k - 1, axis=1)[:, :k]
+                w = 1 / (np.take_along_axis(d, best, 1) + 1e-9)
+                y = (p[best] * w[:, :, None]).sum(1) / w.sum(1)[:, None]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(y), pa.list_(pa.float64()))], ["id", "point"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.where("embedding is not null").select("id", V.vector("embedding").alias("embedding")).mapInArrow(run, f"id {kind}, point array<double>")
+
+
 def _laid_out(index: SimilarityIndex, method: str, num_dims: int, layout) -> Projection:
-    n = index.size()
-    if n > LAYOUT_ROWS:
-        raise ValueError(f"{method} holds all distances in memory: {n} rows, at most {LAYOUT_ROWS}; use pca")
-    rows = index.rows.orderBy("pos", "id").select("id", "embedding").collect()  # at most LAYOUT_ROWS
+    """Lay out up to ``LAYOUT_ROWS`` rows, chosen by a hash of their id, and place the others among them."""
+    chosen = index.rows.select("id", "embedding").orderBy(F.xxhash64("id"), "id").limit(LAYOUT_ROWS)
+    rows = sorted(chosen.collect(), key=lambda r: r.id)  # at most LAYOUT_ROWS
+    kind = index.base.schema["id"].dataType.simpleString()
+    if not rows:
+        return Projection(index.base.sparkSession.createDataFrame([], f"id {kind}, point array<double>"), method)
     x = np.array([r.embedding for r in rows])
-    x = x - x.mean(0)
+    mean = x.mean(0)
+    x = x - mean
     _, _, parts = np.linalg.svd(x, full_matrices=False)
-    start = x @ parts[:num_dims].T
-    y = layout(x @ parts[:50].T, start)
-    kind = index.base.schema["id"].dataType.simpleString()
-    points = index.base.sparkSession.createDataFrame([(r.id, [float(v) for v in p]) for r, p in zip(rows, y, strict=True)], f"id {kind}, point array<double>")
-    return Projection(points, method, trained_on=n)
+    y = layout(x @ parts[:50].T, x @ parts[:num_dims].T)
+    own = index.base.sparkSession.createDataFrame([(r.id, [float(v) for v in p]) for r, p in zip(rows, y, strict=True)], f"id {kind}, point array<double>")
+    others = index.rows.join(F.broadcast(own.select("id")), "id", "left_anti")  # at most LAYOUT_ROWS ids
+    points = own.unionByName(_placed(others, mean.tolist(), x, y)) if len(rows) == LAYOUT_ROWS else own
+    return Projection(points, method, mean.tolist(), None, len(rows), (x, y))
 
 
 def visualize(index: SimilarityIndex, method: str = "pca", num_dims: int = 2, **options) -> Projection:
-    """A projection by ``pca``, ``tsne`` or ``umap`` (a neighbour-graph layout), or of given ``points``."""
+    """A projection by ``pca``, ``tsne`` or ``umap`` (a neighbour-graph layout), or of given ``points``.
+
+    PCA uses all rows.  The layouts are fitted on a bounded sample
+    (``LAYOUT_ROWS``) and give every row a point.
+    """
     if method == "pca":
         return pca(index, num_dims)
     if method == "manual":

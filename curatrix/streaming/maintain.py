@@ -33,5 +33,7 @@ def maintain_index(stream: DataFrame, path: str, checkpoint: str) -> DataStreamW
 
 def tumbling_counts(events: DataFrame, *, ts: str = "ts", key: str = "event_type", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """``key, start, n`` of tumbling windows; on a stream, windows close ``late`` behind the newest event."""
-    rows = events.withWatermark(ts, late) if events.isStreaming else events
-    return rows.groupBy(F.window(ts, width), key).agg(F.count("*").alias("n")).select(key, F.col("window.start").alias("start"), "n")
+    kind = events.schema[ts].dataType
+    # Watermarks need timestamps with a zone; the result has the events' own type again.
+    rows = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
+    return rows.groupBy(F.window(ts, width), key).agg(F.count("*").alias("n")).select(key, F.col("window.start").cast(kind).alias("start"), "n")
