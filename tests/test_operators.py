@@ -52,6 +52,27 @@ def test_neighbours_by_brute_force(index, vectors, block, monkeypatch):
     assert pairs == {(i, j) for i in range(60) for j in range(i + 1, 60) if d[i, j] <= 0.7}
 
 
+@pytest.mark.parametrize("block", [2048, 9])
+def test_cells_with_all_probes_are_exact(index, block, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", block)
+    got = N.kneighbors_cells(index, 3, cells=6, probes=6).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, N.kneighbors(index, 3).collect()))
+    empty = index.restrict(index.rows.where("id < 0"))
+    assert N.kneighbors_cells(empty, 3).count() == 0
+    with pytest.raises(ValueError):
+        N.kneighbors_cells(index, 3, probes=0)
+
+
+def test_recall_of_cells(spark):
+    """The test vectors are nearly isotropic, the hardest case for cells."""
+    i = build_index(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), "vec_id", "embedding")
+    want = {(r.query_id, r.id) for r in N.kneighbors(i, 10).collect()}
+    got = {(r.query_id, r.id) for r in N.kneighbors_cells(i, 10).collect()}
+    recall = len(want & got) / len(want)
+    print(f"recall {recall:.4f}")
+    assert recall >= 0.9
+
+
 def test_greedy_duplicates_by_brute_force(index, vectors):
     d = cosine(vectors)
     kept = []
