@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -298,11 +299,74 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, ma
     """
     ship_package(docs.sparkSession)
     groups = list(item_groups(benchmark, automaton_words))
-    out = docs
-    for group in groups:  # a pass for each group of items; one for benchmarks up to the bound
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        out = out.mapInArrow(_task(_clean(group, window, max_share, out.columns.index("text"), out.columns.index("n_chars") if "n_chars" in out.columns else -1)), schema)
-    return out
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    at = (docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else -1)
+    if len(groups) == 1:
+        return docs.mapInArrow(_task(_clean(groups[0], window, max_share, *at)), schema)
+    # A pass for each group adds its spans on the untouched text; the last one merges them, cuts once and tests the share once.
+    extra = "_spans"
+    while extra in docs.columns:
+        extra += "_"
+    out = docs.withColumn(extra, F.array().cast(SPANS))
+    for group in groups:
+        out = out.mapInArrow(_task(_gather(group, window, at[0])), f"{schema}, `{extra}` {SPANS}")
+    return out.mapInArrow(_task(_cut_gathered(max_share, *at)), schema)
+
+
+def _gather(items: Items, window: int, text_at: int) -> Callable:
+    """Add the items' spans to those in the last column."""
+    search = _search(items, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            probe = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(text_at)], ["doc_id", "text"])
+            (found,) = search(iter([probe]))
+            columns = list(batch.columns)
+            if found.column(2).to_numpy().any():
+                columns[-1] = pa.array([a + b for a, b in zip(columns[-1].to_pylist(), found.column(4).to_pylist(), strict=True)], columns[-1].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return run
+
+
+def merge_spans(text: str, spans: list[dict]) -> tuple[list[dict], int, int]:
+    """Byte ranges over whole words merged where their words overlap or adjoin; the words of the text, and those inside."""
+    block = next(K.blocks(pa.array([text]), 1 << 31))
+    w = K.words(block, K.ALNUM)
+    lo = np.searchsorted(w.start, [s["lo"] for s in spans])
+    hi = np.searchsorted(w.end, [s["hi"] for s in spans]) + 1
+    merged: list[list[int]] = []
+    for a, b in sorted(zip(lo.tolist(), hi.tolist(), strict=True)):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    return [{"lo": int(w.start[a]), "hi": int(w.end[b - 1])} for a, b in merged], len(w.start), sum(b - a for a, b in merged)
+
+
+def _cut_gathered(max_share: float, text_at: int, chars_at: int) -> Callable:
+    """Cut the spans of the last column, which goes; rows over ``max_share`` go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, spans = list(batch.columns[:-1]), batch.column(batch.num_columns - 1)
+            rows = np.flatnonzero(pc.list_value_length(spans).to_numpy(zero_copy_only=False))
+            keep = np.ones(batch.num_rows, bool)
+            if len(rows):
+                texts = columns[text_at].to_pylist()
+                chars = columns[chars_at].to_pylist() if chars_at >= 0 else None
+                for r in rows.tolist():
+                    merged, n, hit = merge_spans(texts[r], spans[r].as_py())
+                    keep[r] = hit <= max_share * n
+                    texts[r] = cut_spans(texts[r], merged)
+                    if chars is not None:
+                        chars[r] = len(texts[r])
+                columns[text_at] = pa.array(texts, columns[text_at].type)
+                if chars is not None:
+                    columns[chars_at] = pa.array(chars, columns[chars_at].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1]).filter(pa.array(keep))
+
+    return run
 
 
 def _clean(items: Items, window: int, max_share: float, text_at: int, chars_at: int) -> Callable:

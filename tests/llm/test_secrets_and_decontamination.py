@@ -102,3 +102,26 @@ def test_decontaminate_cuts_and_drops(spark):
     assert sorted(got) == [1, 3, 4]
     assert got[1].text == "before it  , and after it comes more of text" and got[1].n_chars == len(got[1].text)
     assert (got[3].text, got[4].text) == ("clean  text", None)
+
+
+def test_decontaminate_in_groups_of_items(spark):
+    """Groups of any size give what one pass gives, and the share that brute force counts."""
+    rng = random.Random(7)
+    vocabulary = [f"w{k}" for k in range(40)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.randint(3, 14)))) for k in range(24)]
+    items += [(100 + k, " ".join(items[k][1].split()[-4:] + items[k + 1][1].split()[:4])) for k in range(8)]  # windows overlap those of other groups
+    texts = []
+    for _ in range(80):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            words = rng.choice(items)[1].split()
+            parts += words[: rng.randint(1, len(words))] if rng.random() < 0.4 else words
+            parts += rng.choices(vocabulary, k=rng.randint(0, 8))
+        texts.append(rng.choice([", ", " "]).join(parts))
+    rows = [(k, t, len(t)) for k, t in enumerate(texts)] + [(99, None, None), (100, "", 0)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").coalesce(2), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, decontam.decontaminate(docs, bench, window=4).collect()), key=str)
+    dropped = {i for i, t, _ in rows for n, hit, _ in [brute_hits(t, items, 4)] if hit > 0.5 * n}
+    assert {r[0] for r in whole} == {r[0] for r in rows} - dropped and dropped
+    for words in (30, 1):
+        assert sorted(map(tuple, decontam.decontaminate(docs, bench, window=4, automaton_words=words).collect()), key=str) == whole
