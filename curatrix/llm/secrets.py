@@ -36,10 +36,16 @@ _RANK = {k: i for i, k in enumerate(KINDS)}
 _KEYS = ("passw", "secret", "token", "apikey", "api_key")
 
 _OPERATOR = re.compile(r":=|=>|[:=]")
-_NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]{0,100})["'\]]{0,2}[ \t]{0,8}\Z""")
-_TERM = re.compile(r"""[ \t]{0,8}(?:"((?:[^"\\\n]|\\.){0,4096})"|'((?:[^'\\\n]|\\.){0,4096})'|([A-Za-z0-9_$+/.=@%-]{1,512}))""")
-_PLUS = re.compile(r"[ \t]{0,8}\+")
-_WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
+# White space between the parts of a pair, with line ends and continuation marks.
+_GAP = r"(?:\s|\\\r?\n)*+"
+#: A name before an operator, on the reversed text.
+_EMAN = re.compile(r"""(?:\s|\n\r?\\)*+["'\]]{0,2}([A-Za-z0-9_.\-]*+)""")
+_TERM = re.compile(_GAP + r"""(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|([A-Za-z0-9_$+/.=@%-]))""")
+_REST = re.compile(r"[A-Za-z0-9_$+/.=@%-]*+")
+_PLUS = re.compile(_GAP + r"\+")
+_WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*+")
+#: What a term on a later line must not be: the name of the next pair.
+_PAIR = re.compile(_GAP + r"""(?:"[^"\n]*+"|'[^'\n]*+'|[A-Za-z_][A-Za-z0-9_.\-]*+["'\]]{0,2})[ \t]*+(?::|=(?![=\s]|\Z)|=[ \t]+\S)""")
 SENSITIVE = [
     (re.compile(r"pass(?:wd|word|phrase)?(?![a-z])|pwd|private_?key|signing_?key|client_?secret", re.I), 1.0),
     (re.compile(r"secret|api_?key|access_?key|auth_?token|bearer", re.I), 1.0),
@@ -56,10 +62,42 @@ def name_weight(name: str) -> float:
 
 def randomness(text: str) -> float:
     """Entropy of a literal's characters against 4 bits, cut at 1; under eight characters or with spaces 0."""
-    if len(text) < 8 or " " in text:
+    return _randomness(Counter(text))
+
+
+def _randomness(counts: Counter) -> float:
+    n = counts.total()
+    if n < 8 or counts[" "]:
         return 0.0
-    counts = Counter(text).values()
-    return min(1.0, -sum(c / len(text) * math.log2(c / len(text)) for c in counts) / 4)
+    return min(1.0, -sum(c / n * math.log2(c / n) for c in counts.values() if c) / 4)
+
+
+class _Value:
+    """What a pair gives its name: spans of literals and values of constants, and how often each character occurs."""
+
+    __slots__ = ("counts", "flows", "parts")
+
+    def __init__(self, parts: list) -> None:
+        self.parts = parts
+        self.counts: Counter | None = None
+        self.flows = False
+
+    def counted(self, text: str) -> Counter:
+        if self.counts is None:
+            self.counts = Counter()
+            for p in self.parts:  # values of constants have been counted before: no deep recursion
+                self.counts.update(p.counted(text) if isinstance(p, _Value) else text[p[0] : p[1]])
+        return self.counts
+
+    def reached(self) -> Iterator[tuple[int, int]]:
+        """Spans of literals that flow into a sensitive name, each value's once."""
+        stack = [self]
+        while stack:
+            v = stack.pop()
+            if not v.flows:
+                v.flows = True
+                stack += [p for p in v.parts if isinstance(p, _Value)]
+                yield from (p for p in v.parts if not isinstance(p, _Value))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -78,42 +116,57 @@ def lexed_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals whose score over direct and propagated names reaches the threshold."""
     if "=" not in text and ":" not in text:
         return []
-    constants: dict[str, list[tuple[int, int]]] = {}
+    constants: dict[str, _Value] = {}
     found: dict[tuple[int, int], str] = {}
+    back, n = text[::-1], len(text)
+    start, end, run_at, run = 0, 0, 0, None  # the last unquoted stretch, and the characters of its part from run_at
     for op in _OPERATOR.finditer(text):
-        left = _NAME.search(text[max(0, op.start() - 112) : op.start()])
-        if not left:
+        name = _EMAN.match(back, n - op.start())[1][::-1].lstrip("0123456789.-")
+        if not name:
             continue
-        parts: list[tuple[int, int]] = []
+        parts: list = []
         direct, at = True, op.end()
-        for _ in range(16):
-            term = _TERM.match(text, at)
-            if not term:
-                break
+        before = at
+        while term := _TERM.match(text, at):
             k = 1 if term[1] is not None else 2 if term[2] is not None else 3
-            word = term[3]
-            if k == 3 and _WORD.match(word) and word.rstrip(".") in constants:
-                parts += constants[word.rstrip(".")]
+            a, b = term.span(k)
+            if k == 3:
+                if not start <= a < end:
+                    start, end, run = a, _REST.match(text, b).end(), None
+                b = end
+            if "\n" in text[before:a] and _PAIR.match(text, at):
+                break
+            word = _WORD.match(text, a, b) if k == 3 else None
+            known = constants.get(word[0].rstrip(".")) if word and word.end() == b else None
+            if known:
+                known.counted(text)
                 direct = False
-            else:
-                parts.append(term.span(k))
-            at = term.end()
+            parts.append(known or (a, b))
+            before = at = b if k == 3 else b + 1
             plus = _PLUS.match(text, at)
             if not plus:
                 break
             at = plus.end()
         if not parts:
             continue
-        name = left[1]
-        constants[name] = parts[:16]
+        value = constants[name] = _Value(parts)
         weight = name_weight(name)
         if weight:
-            value = "".join(text[a:b] for a, b in parts)
-            if weight * randomness(value) >= THRESHOLD:
-                for span in parts[:16]:
-                    if direct:
-                        found[span] = "literal"
-                    else:
+            if direct and len(parts) == 1 and start <= parts[0][0] < end:
+                # Several names may stand in one unquoted stretch: its characters are counted once.
+                a = parts[0][0]
+                if run is None:
+                    run = Counter(text[a:end])
+                else:
+                    run.subtract(text[run_at:a])
+                run_at, counts = a, run
+            else:
+                counts = value.counted(text)
+            if weight * _randomness(counts) >= THRESHOLD:
+                if direct:
+                    found.update(dict.fromkeys(parts, "literal"))
+                else:
+                    for span in value.reached():
                         found.setdefault(span, "flow")
     return sorted((a, b, kind) for (a, b), kind in found.items() if b > a)
 

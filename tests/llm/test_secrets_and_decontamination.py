@@ -125,3 +125,34 @@ def test_decontaminate_in_groups_of_items(spark):
     assert {r[0] for r in whole} == {r[0] for r in rows} - dropped and dropped
     for words in (30, 1):
         assert sorted(map(tuple, decontam.decontaminate(docs, bench, window=4, automaton_words=words).collect()), key=str) == whole
+
+
+def test_literals_to_their_real_end():
+    rng = random.Random(3)
+    key = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=100_000))
+
+    def hidden(text, *literals):
+        found = {text[a:b] for a, b, _ in secrets.spans_of(text)[1]}
+        left = secrets.redacted(text, secrets.spans_of(text)[1])
+        assert set(literals) <= found, (text[:80], found)
+        assert not any(x in left for x in literals)
+
+    for size in (600, 5_000, 100_000):
+        hidden(f"private_key = {key[:size]}\nend", key[:size])
+        hidden(f'"private_key": "{key[:size]}",', key[:size])
+        hidden(f"signing_key => '{key[:size]}'", key[:size])
+    pieces = [key[k * 12 : k * 12 + 12] for k in range(40)]
+    hidden("client_secret = " + " + ".join(f'"{p}"' for p in pieces), *pieces)
+    hidden("client_secret = " + " +\n    ".join(f'"{p}"' for p in pieces), *pieces)
+    hidden("client_secret = \\\n  " + "\n  + ".join(f"'{p}'" for p in pieces), *pieces)
+    hidden("".join(f'p{k} = "{p}"\n' for k, p in enumerate(pieces)) + "client_secret = " + " + ".join(f"p{k}" for k in range(40)), *pieces)
+    hidden(f"private_key{' ' * 40}={' ' * 40}'{pieces[0]}'", pieces[0])
+    hidden(f"private_key\n  =\n  '{pieces[0]}'", pieces[0])
+    hidden(f"client_secret_{'of_the_service_' * 20} = '{pieces[0]}'", pieces[0])
+    # The next pair is no value: neither after an empty one, nor in the added lines of a patch.
+    assert secrets.lexed_spans("private_key =\nauthentication_method = none\n") == []
+    assert secrets.lexed_spans("private_key:\n  authentication_method: none\n") == []
+    patch = f'-private_key = "{pieces[0]}"\n+colour_scheme = "aquamarine"\n'
+    assert {patch[a:b] for a, b, _ in secrets.lexed_spans(patch)} == {pieces[0]}
+    chained = f"a = b=c + {pieces[1]}\nprivate_key = x={pieces[0]} + y\n"
+    assert {chained[a:b] for a, b, _ in secrets.lexed_spans(chained)} == {f"x={pieces[0]}", "y"}
