@@ -8,6 +8,7 @@ All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from curatrix.llm import decontam, labelled, minhash, packing, quality, secrets
 from curatrix.session import materialize, ship_package
@@ -20,13 +21,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked at 0.8 of five-word shingles: the smallest ``doc_id``.
+    """One document of each group linked at 0.8 of five-word shingles: the smallest ``doc_id``, one without an id last.
 
-    Rows that repeat a ``doc_id`` stay once; rows without one all stay.
+    A document is a ``doc_id`` with a text: exact repeats stay once, unlike texts
+    under one ``doc_id`` all count.  Rows with neither stay.  Documents are
+    numbered in the order of ``doc_id``, so each has a key of its own.
     """
-    kept = minhash.near_duplicates(docs, shingle=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    nothing = F.col("doc_id").isNull() & (F.coalesce("text", F.lit("")) == "")
+    once = docs.where(~nothing).withColumn("_h", F.sha2(F.col("text").cast("binary"), 256)).dropDuplicates(["doc_id", "_h"])
+    order = [F.col("doc_id").asc_nulls_last(), F.col("_h")]
+    keyed = materialize(once.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_key", F.monotonically_increasing_id()).drop("_h"), "keyed")
+    kept = minhash.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), shingle=5, percent=80).where("kept").select(F.col("doc_id").alias("_key"))
+    return keyed.join(kept, "_key", "left_semi").select(*docs.columns).unionByName(docs.where(nothing))
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

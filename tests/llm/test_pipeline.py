@@ -87,3 +87,13 @@ def test_stages_keep_columns_and_clean_documents(spark):
         assert out.columns == names, name
         assert sorted(map(str, out.collect())) == sorted(map(str, docs.collect())), name
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_repeated_and_missing_ids_lose_no_text(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(5, a), (5, b), (5, b), (9, a + " more"), (None, c), (None, c), (None, a), (None, d + " tail"), (7, d), (None, None), (None, None), (None, ""), (3, None), (3, None)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n_chars long")
+    for parts in (1, 5):
+        out = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(parts), SF)
+        want = [(5, a), (5, b), (None, c), (7, d), (None, None), (None, None), (None, ""), (3, None)]
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
