@@ -19,6 +19,7 @@ shuffled join.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +48,10 @@ TEMPLATES = [
     ("reserved", "all rights reserved"),
 ]
 THRESHOLD = 0.8
+#: Templates of up to so many different words are short: all of them must stand in a block.
+SHORT_WORDS = 8
+#: Words that tell notices apart; a template's must all stand in a block.
+NAMES = frozenset({"mit", "apache", "gnu", "general", "cc", "sa", "nc"})
 BROADCAST_ROWS = 100_000
 
 
@@ -109,7 +114,65 @@ def block_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     return hits.select(*keep, "block", "template", "label", (F.col("_both") / F.size("tokens")).alias("score"))
 
 
-def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def notice_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Pairs of a text and a template that tell licenses apart: ``keep`` columns, ``label, score``.
+
+    Blocks are single lines, and paragraphs of several lines, so a wrapped notice
+    is found.  A short template needs all its words, a long one ``threshold`` of
+    them with all its ``NAMES``.  In a paragraph a short template must stand word
+    by word, and a long one within a stretch of twice its length.  A template
+    whose words another matching template of the block includes, as CC BY those of
+    CC BY-NC, counts only if it stands word by word.
+    """
+    spark = docs.sparkSession
+    entries = []
+    for k, label, tokens, need in template_rows(templates, threshold):
+        text = next(t for n, (_, t) in enumerate(templates) if n == k).lower()
+        short = len(tokens) <= SHORT_WORDS
+        must = tokens if short else sorted(NAMES & set(tokens))
+        entries.append((k, label, tokens, must, len(tokens) if short else need, short, f" {' '.join(text.split())} ", 2 * len(text.split())))
+    freq = document_frequency(docs, sorted({w for e in entries for w in e[2]}))
+    # A block that matches has one of these words of the template: all but need - 1, the rarest.
+    heads = {e[0]: sorted(e[2], key=lambda w: (freq.get(w, 0), w))[: len(e[2]) - e[4] + 1] for e in entries}
+    pattern = r"(?i)(?<![0-9A-Za-z\x{80}-\x{10FFFF}])(?:" + "|".join(sorted({w for h in heads.values() for w in h})) + r")(?![0-9A-Za-z\x{80}-\x{10FFFF}])"
+    one = docs.where(F.col("text").rlike(pattern))
+    lines = one.select(*keep, F.lit(False).alias("_wrapped"), F.posexplode(F.split("text", "\n")).alias("block", "_text"))
+    paragraphs = one.where(F.col("text").contains("\n")).select(*keep, F.lit(True).alias("_wrapped"), F.posexplode(F.split("text", r"\n(?:[ \t\r\x0B\f]*\n)+")).alias("block", "_text"))
+    blocks = lines.unionByName(paragraphs.where(F.col("_text").contains("\n"))).where(F.col("_text").rlike(pattern))
+    words = blocks.withColumn("_words", F.array_remove(F.split(ascii_lower(F.col("_text")), GAP), "")).withColumn("_set", F.array_distinct("_words"))
+    schema = "template int, label string, tokens array<string>, must array<string>, need int, short boolean, phrase string, span int, token string"
+    index = spark.createDataFrame([(*e, w) for e in entries for w in heads[e[0]]], schema)
+    if index.count() <= BROADCAST_ROWS:
+        index = F.broadcast(index)
+    probes = words.select(*keep, "_wrapped", "block", "_words", "_set", F.explode(F.array_intersect("_set", F.array(*[F.lit(w) for w in sorted({w for h in heads.values() for w in h})]))).alias("token"))
+    both = F.size(F.array_intersect("tokens", "_set"))
+    rarest = F.array(*[F.lit(w) for w in sorted({w for e in entries for w in e[2]}, key=lambda w: (freq.get(w, 0), w))])
+    # A pair is met once for each shared head word; only the rarest shared word counts.
+    first = F.expr("element_at(_order, 1)") == F.col("token")
+    hits = probes.join(index, "token").where(F.size(F.array_except("must", "_set")) == 0).withColumn("_both", both).where(F.col("_both") >= F.col("need"))
+    hits = hits.withColumn("_order", F.array_intersect(rarest, F.array_intersect("tokens", "_set"))).where(first)
+    literal = F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")).contains(F.col("phrase"))
+    at = F.sequence(F.lit(1), F.greatest(F.size("_words") - F.col("span") + 1, F.lit(1)))
+
+    def dense(i: Column) -> Column:
+        near = F.slice("_words", i, F.col("span"))
+        return (F.size(F.array_intersect("tokens", near)) >= F.col("need")) & (F.size(F.array_except("must", near)) == 0)
+
+    stands = F.when(~F.col("_wrapped"), True).when(F.col("short"), F.col("_literal")).otherwise(F.exists(at, dense))
+    hits = hits.withColumn("_literal", literal).where(stands)
+    found = F.struct("template", "label", "tokens", "_literal", (F.col("_both") / F.size("tokens")).alias("score"))
+    grouped = hits.groupBy(*keep, "_wrapped", "block").agg(F.collect_list(found).alias("_found"))  # at most one for each template
+    included = F.expr("exists(_found, y -> size(y.tokens) > size(x.tokens) and size(array_except(x.tokens, y.tokens)) = 0)")
+    own = grouped.select(*keep, F.explode("_found").alias("x"), "_found").where(F.col("x._literal") | ~included)
+    return own.select(*keep, "x.label", "x.score")
+
+
+def scan_notices(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """``scan_licenses`` with the labels of ``notice_matches``: each notice its own, wrapped ones too."""
+    return scan_licenses(docs, templates, threshold, notice_matches)
+
+
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, matches: Callable[..., DataFrame] = block_matches) -> DataFrame:
     """One row for each row of ``docs``: base phrases, template labels and a score.
 
     ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
@@ -119,7 +182,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     row_key = F.xxhash64("text")
-    found = block_matches(rows.withColumn("_k", row_key), templates, threshold, ("doc_id", "_k")).groupBy("doc_id", "_k").agg(F.collect_set("label").alias("_labels"), F.max("score").alias("_score"))
+    found = matches(rows.withColumn("_k", row_key), templates, threshold, ("doc_id", "_k")).groupBy("doc_id", "_k").agg(F.collect_set("label").alias("_labels"), F.max("score").alias("_score"))
     with_base = F.lower("text").contains("license")
     norm = F.when(with_base, F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(F.col("text")), GAP, " ")), F.lit(" ")))
     ahead = " (?=" + "|".join(f"{p} " for p in PHRASES) + ")"

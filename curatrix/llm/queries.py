@@ -79,10 +79,15 @@ SELECT doc_id, b AS n_bytes, d::INTEGER AS shard_depth, p AS shard_prefix, 0::IN
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scan all documents for license phrases and notices."""
+    """Scan all documents for license phrases and notices by the rules of its SQL: 0.8 of a template's words in a line."""
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op8_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan all documents for license phrases and notices, each notice with its own label and wrapped ones too."""
+    return licenses.scan_notices(_table(spark, sf_dir, "documents"))
+
+
 def _op8_sql() -> str:
     rows = licenses.template_rows(licenses.TEMPLATES, licenses.THRESHOLD)
     templates = ", ".join(f"({k}, '{label}', [{', '.join(repr(w) for w in tokens)}], {need})" for k, label, tokens, need in rows)
@@ -139,7 +144,7 @@ def _shipped(query: Callable) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_store, op2_interleaved_media, op3_quality, op4_secrets, op5_decontamination, op6_toxicity, op7_sharding, op8_licenses, op9_near_duplicates, op10_packing, pipeline]
+    own = [op1_token_store, op2_interleaved_media, op3_quality, op4_secrets, op5_decontamination, op6_toxicity, op7_sharding, op8_licenses, op8_license_notices, op9_near_duplicates, op10_packing, pipeline]
     return {q.__name__: _shipped(q) for q in own}
 
 

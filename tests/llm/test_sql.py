@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 
 import pytest
 
@@ -95,3 +96,24 @@ def test_shards_of_nulls_and_nothing(spark):
     got = sharding.shard(df, limit=1)
     assert got.count() == 3 and got.columns.count("shard_depth") == 1
     assert sharding.shard(df.limit(0)).count() == 0
+
+
+def test_each_notice_has_its_own_label(spark):
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"
+    wrap = lambda text, width, mark="": "\n".join(mark + x for x in textwrap.wrap(text, width))
+    cases = [(text, {label}) for label, text in licenses.TEMPLATES]
+    cases += [
+        ("Licensed under the Apache License, Version 2.0.", {"apache-notice"}), ("This work is licensed under the GNU General Public License, version 3.", {"gpl-notice"}), ("Licensed under CC BY-NC 4.0.", {"cc-by-nc"}), ("Licensed under CC BY 4.0.", {"cc-by"}), ("Licensed under CC BY-SA 4.0.", {"cc-by-sa"}),
+        ("Licensed under the Foo License", set()), ("This work is licensed under the Mozilla Public License version 3", set()), ("Licensed under CC BY 4.0, pictures licensed under CC BY-NC 4.0", {"cc-by", "cc-by-nc"}),
+        ("Licensed under the Apache License\nMIT is a place", set()), ("Released under\nthe MIT\nLicense", {"mit-notice"}),
+    ]
+    for width in (20, 40, 72):
+        for mark in ("", " * ", "# "):
+            cases += [(wrap(grant, width, mark), {"mit-grant"}), (f"Some words.\n\n{wrap(bsd, width, mark)}\n* x\n", {"bsd-terms"}), (wrap(gpl, width, mark) + "\n\nend", {"gpl-terms"})]
+    cases += [(wrap(" ".join(w for x in grant.split() for w in (x, *["word"] * 9)), 60), set())]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) - set(r.base_labels.split(",")) for r in licenses.scan_notices(docs).collect()}
+    assert got == {k: w for k, (_, w) in enumerate(cases)}, [(cases[k], got[k]) for k in got if got[k] != cases[k][1]]
+    assert licenses.scan_notices(docs.limit(0)).count() == 0
