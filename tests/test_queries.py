@@ -29,6 +29,11 @@ def test_unique_subset_is_spread(spark):
     assert catalog.queries()["unique_subset"](spark, SF).count() == 100
 
 
+def test_unique_half_looks_at_all_rows(spark):
+    ids = {r.id for r in catalog.queries()["unique_half"](spark, SF).collect()}
+    assert len(ids) == 250 and max(ids) >= 450
+
+
 def test_kmeans_scores(spark):
     rows = catalog.queries()["representativeness_kmeans"](spark, SF).toPandas()
     assert len(rows) == 500 and rows.representativeness.between(0, 1).all() and rows.representativeness.max() == 1
