@@ -578,6 +578,12 @@ def tsne_projection(spark, d):
 
 @register()
 def umap_projection(spark, d):
+    """A neighbour layout of the whole index."""
+    return Z.visualize(_index(spark, d), "umap").points.select("id", F.get("point", 0).alias("x"), F.get("point", 1).alias("y"))
+
+
+@register()
+def umap_incremental(spark, d):
     """A neighbour layout of half of the rows, extended by the rest."""
     i = _index(spark, d)
     half = Z.visualize(i.restrict(i.rows.where("id % 2 = 0")), "umap")

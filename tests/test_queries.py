@@ -29,6 +29,12 @@ def test_unique_subset_is_spread(spark):
     assert catalog.queries()["unique_subset"](spark, SF).count() == 100
 
 
+def test_umap_lays_out_the_whole_index(spark, monkeypatch):
+    """All rows are fitted; none is placed among others."""
+    monkeypatch.setattr(catalog.Z.Projection, "add", None)
+    assert catalog.queries()["umap_projection"](spark, SF).count() == 500
+
+
 def test_unique_half_looks_at_all_rows(spark):
     ids = {r.id for r in catalog.queries()["unique_half"](spark, SF).collect()}
     assert len(ids) == 250 and max(ids) >= 450
