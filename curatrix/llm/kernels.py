@@ -98,6 +98,20 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         lo = hi
 
 
+def pieces(column: pa.Array, limit: int = BLOCK_BYTES, rows: int = 256) -> Iterator[tuple[int, list]]:
+    """Adjacent rows as Python values, with the number of the first one: at most ``rows`` and ``limit`` bytes (or one row) at a time."""
+    n = len(column)
+    if not n:
+        return
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    off = np.frombuffer(column.buffers()[1], kind, n + 1, column.offset * kind().itemsize).astype(np.int64)
+    lo = 0
+    while lo < n:
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1), n)
+        yield lo, column.slice(lo, hi - lo).to_pylist()
+        lo = hi
+
+
 def words(block: Block, classes: np.ndarray) -> Words:
     """Spans of maximal runs of one non-zero class, never across two texts."""
     kind = classes[block.data]

@@ -27,9 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.llm import kernels as K
+from curatrix.llm import skew, workers
 from curatrix.session import materialize, ship_package
 
 WIDTH = 64
+#: Digests that a task remembers having stored (some 60 MB); beyond it, copies may be stored again.
+SEEN = 500_000
 ITEMS = "array<struct<position:int,kind:string,text:string,digest:string,caption:string,n_bytes:long>>"
 _MEDIA = {"img", "source", "video", "audio"}
 _SILENT = {"script", "style", "template", "noscript"}
@@ -122,30 +126,35 @@ def parse_page(html: str | None) -> list[dict]:
 
 
 def parse_pages(pages: DataFrame, html: str = "html", keep: str = "page_id") -> DataFrame:
-    """``keep, items``: the sequence of each row of ``pages``."""
+    """``keep, items``: the sequence of each row of ``pages``.
+
+    Null and empty pages give empty sequences, repeated rows one each, an empty
+    table none.  Columns but ``keep`` and ``html`` are ignored.
+    """
     ship_package(pages.sparkSession)
     kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string()), ("n_bytes", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([parse_page(h) for h in part.column(1).to_pylist()], kind)], [keep, "items"])
+            for at, texts in K.pieces(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([parse_page(h) for h in texts], kind)], [keep, "items"])
 
     rows = pages.select(keep, F.col(html).cast("string").alias("_html"))
-    return rows.mapInArrow(run, f"`{keep}` {rows.schema[0].dataType.simpleString()}, items {ITEMS}")
+    return rows.mapInArrow(workers.task("media", run, _nothing), f"`{keep}` {rows.schema[0].dataType.simpleString()}, items {ITEMS}")
 
 
 def resolve(sequences: DataFrame, media: DataFrame, columns: list[str], keep: str = "page_id") -> DataFrame:
     """Every media reference with ``columns`` of its digest's row in ``media``: a left equi-join.
 
     ``media`` may repeat a digest (equal bytes, equal columns); it is reduced to
-    one row a digest first.  References to unknown digests get nulls.  The result
-    has ``keep, position, digest, caption, n_bytes`` and ``columns``.
+    one row a digest first.  References to unknown digests get nulls; sequences
+    without references give no rows.  The result has ``keep, position, digest,
+    caption, n_bytes`` and ``columns``.  The references are written once, so that
+    a digest that very many pages share is known and is not joined in one task.
     """
     refs = sequences.select(keep, F.explode("items").alias("_i")).where("_i.kind = 'media'").select(keep, "_i.position", "_i.digest", "_i.caption", "_i.n_bytes")
     one = media.groupBy("digest").agg(*[F.first(c).alias(c) for c in columns])
-    return refs.join(one, "digest", "left").select(keep, "position", "digest", "caption", "n_bytes", *columns)
+    return skew.join_one(materialize(refs, "references"), one, "digest").select(keep, "position", "digest", "caption", "n_bytes", *columns)
 
 
 def to_image(data: bytes) -> bytes:
@@ -172,56 +181,67 @@ def image_feature(pixels: np.ndarray) -> str:
     return f"h={len(pixels)};mean={total / n:.4f};var={(square - total * total / n) / n:.4f};zeros={int(counts[0])};columns={bits:016x}"
 
 
+def _nothing() -> None:
+    """Tasks keep no tables."""
+
+
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Map (doc_id, text) to pages with one reference, and the images not yet emitted by the task."""
     seen: set[bytes] = set()
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        ids = batch.column(0)
+        for at, texts in K.pieces(batch.column(1)):
             pages, digests, images = [], [], []
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            docs = ids.slice(at, len(texts))
+            for doc, text in zip(docs.to_pylist(), texts, strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 image = to_image(data)
                 h = hashlib.sha256(image)
                 pages.append(f'<article><figure><img src="sha256:{h.hexdigest()}" data-bytes="{len(data)}"><figcaption>{escape(f"document {doc}")}</figcaption></figure></article>')
                 digests.append(h.hexdigest())
                 images.append(None if h.digest() in seen else image)
-                if len(seen) >= 500_000:
+                if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(h.digest())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pages, pa.string()), pa.array(digests, pa.string()), pa.array(images, pa.binary())], ["doc_id", "html", "digest", "image"])
+            yield pa.RecordBatch.from_arrays([docs, pa.array(pages, pa.string()), pa.array(digests, pa.string()), pa.array(images, pa.binary())], ["doc_id", "html", "digest", "image"])
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Map (digest, image) to what the stored bytes say."""
     names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        for at, images in K.pieces(batch.column(1)):
             rows = []
-            for digest, image in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for digest, image in zip(batch.column(0).slice(at, len(images)).to_pylist(), images, strict=True):
                 pixels = samples(image)
                 payload = pixels.tobytes()
                 rows.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(image), hashlib.sha256(image).hexdigest(), image_feature(pixels)))
-            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            cols = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
+#: How the media table is written: small row groups and pages, since its rows are large; bytes of images are no dictionary.
+LAYOUT = {"compression": "zstd", "parquet.block.size": str(8 << 20), "parquet.page.size": str(256 << 10), "parquet.enable.dictionary#image": "false", "parquet.enable.dictionary#html": "false", "parquet.enable.dictionary#digest": "false"}
+
+
 def store_documents(docs: DataFrame) -> DataFrame:
     """Write ``docs`` as pages and images; returns the table ``doc_id, html, digest, image``.
 
     ``image`` is null where the same task has stored the same bytes already.
-    Null texts count as empty and take one row of zero samples.  Other columns
-    are ignored; repeated rows get a page each.
+    Null texts count as empty and take one row of zero samples.  Equal texts have
+    equal digests, whichever row comes first; repeated rows, and rows without an
+    id, get a page each.  An empty table gives an empty one.  Other columns are
+    ignored, whatever their names.  Texts are taken a bounded number of bytes at
+    a time, so a task's memory follows its longest text.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(rows.mapInArrow(_store, "doc_id long, html string, digest string, image binary"), "media", {"compression": "zstd"})
+    return materialize(rows.mapInArrow(workers.task("media", _store, _nothing), "doc_id long, html string, digest string, image binary"), "media", LAYOUT)
 
 
 def describe_media(media: DataFrame) -> DataFrame:
-    """Sizes, digests and a feature string for each stored image of ``media(digest, image)``."""
+    """Sizes, digests and a feature string for each stored image of ``media(digest, image)``; rows without an image are left out."""
     ship_package(media.sparkSession)
     schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.where("image is not null").select("digest", "image").mapInArrow(_describe, schema)
+    return media.where("image is not null").select("digest", "image").mapInArrow(workers.task("media", _describe, _nothing), schema)
