@@ -20,8 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.tokens import CACHED, Encoder, encoded
-from curatrix.session import materialize, ship_package
+from curatrix.llm import kernels as K
+from curatrix.llm.tokens import CACHED, Encoder, encoded, ended
+from curatrix.session import drop_scratch, materialize, ship_package
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
@@ -65,29 +66,27 @@ class BestFit:
 
 
 def _cut(end_id: int, size: int, keep_ids: bool) -> Callable:
-    """Map texts to pieces of at most ``size`` ids."""
+    """Map texts to pieces of at most ``size`` ids, each with a number of its own."""
 
     def bind(enc: Encoder) -> Callable:
-        tail = np.array([end_id], "<u4").tobytes()
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number = TaskContext.get().partitionId() << 40
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    rows = batch.slice(at, 256)
-                    cols: list[list] = [[], [], [], [], []]
-                    ids: list[np.ndarray] = []
-                    for doc, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                        raw = enc.encode(text or "") + tail
-                        for lo in range(0, len(raw), 4 * size):
-                            piece = raw[lo : lo + 4 * size]
-                            for c, v in zip(cols, (doc, lo // (4 * size), lo // 4, len(piece) // 4, zlib.crc32(piece)), strict=True):
-                                c.append(v)
-                            if keep_ids:
-                                ids.append(np.frombuffer(piece, "<i4"))
-                    arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True)]
-                    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                for block in K.blocks(batch.column(1)):
+                    ids, edge = ended(*enc.encode_block(block), end_id)
+                    many = -(-np.diff(edge) // size)
+                    row = np.repeat(np.arange(len(many)), many)
+                    piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                    lo = edge[row] + piece * size
+                    hi = np.minimum(lo + size, edge[row + 1])
+                    raw = memoryview(ids).cast("B")
+                    crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+                    columns = [batch.column(0).slice(block.first, len(many)).take(pa.array(row)), piece.astype(np.int32), piece * size, (hi - lo).astype(np.int32), crc, number + np.arange(len(row))]
+                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+                    arrays, names = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "_number"]
+                    number += len(row)
                     if keep_ids:
-                        arrays.append(pa.array(ids, pa.list_(pa.int32())))
+                        arrays.append(pa.ListArray.from_arrays(pa.array(np.append(lo, edge[-1]), pa.int32()), pa.array(ids.view(np.int32))))
                         names.append("ids")
                     yield pa.RecordBatch.from_arrays(arrays, names)
 
@@ -109,23 +108,27 @@ def _pack(size: int, bins: int) -> Callable:
     return run
 
 
-def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 0, size: int = 2048, bins: int = 4096, rows_per_task: int = 200_000, include_ids: bool = True, cached_pieces: int = CACHED) -> DataFrame:
+def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 0, size: int = 2048, bins: int = 4096, rows_per_task: int = 200_000, include_ids: bool = True, cached: int = CACHED) -> DataFrame:
     """Pieces of all documents with their places: ``doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset``.
 
     Each document is its ids and then ``end_id``; null texts count as empty and
     hold ``end_id`` alone.  ``sequence_id`` numbers are unique, not gapless;
     offsets of a sequence's pieces are gapless from 0.  Repeated rows are packed
-    each on their own, rows without ``doc_id`` too.  An empty table gives no
-    rows.  Other columns are ignored.  ``cached_pieces`` bounds the encoder's memory
-    in each worker (some 220 MB a million).
+    each on their own, rows without ``doc_id`` too; pieces are dealt to tasks by
+    a number of their own, so they need not differ.  An empty table gives no
+    rows.  Other columns are ignored, whatever their names.  Texts are encoded a
+    bounded number of bytes at a time, or one by one.  ``cached`` bounds the words
+    that a worker remembers.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    schema = PIECES + (", ids array<int>" if include_ids else "")
+    schema = f"{PIECES}, _number long" + (", ids array<int>" if include_ids else "")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = materialize(encoded(rows, tokenizer, _cut(end_id, size, include_ids), schema, cached_pieces), "pieces")
+    pieces = materialize(encoded(rows, tokenizer, _cut(end_id, size, include_ids), schema, cached), "pieces")
     tasks = max(1, -(-pieces.count() // rows_per_task))
-    order = ("doc_id", "piece", "ids_crc32")
-    dealt = pieces.repartition(tasks, F.xxhash64(*order)).sortWithinPartitions(F.xxhash64(*order), *order)
-    placed = dealt.mapInArrow(_pack(size, bins), f"{schema}, sequence_id long, offset int")
-    return materialize(placed, "packed")
+    # A random order, and the same each time.
+    order = F.xxhash64("_number")
+    placed = pieces.repartition(tasks, order).sortWithinPartitions(order).drop("_number").mapInArrow(_pack(size, bins), f"{PIECES}{', ids array<int>' if include_ids else ''}, sequence_id long, offset int")
+    out = materialize(placed, "packed")
+    drop_scratch(pieces)
+    return out

@@ -21,7 +21,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from curatrix.llm.tokens import Encoder, encoded
+from curatrix.llm import kernels as K
+from curatrix.llm.tokens import Encoder, encoded, ended
 from curatrix.session import scratch_path, ship_package
 
 SCHEMA = "part int, doc_id long, part_start long, n_tokens int, ids array<int>"
@@ -43,18 +44,15 @@ def layout(row_group_bytes: int = 32 << 20, page_bytes: int = 64 << 10, page_row
 
 def _emit(end_id: int) -> Callable:
     def bind(enc: Encoder) -> Callable:
-        tail = np.array([end_id], "<u4").tobytes()
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part, start = TaskContext.get().partitionId(), 0
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    rows = batch.slice(at, 256)
-                    got = [enc.encode(t or "") + tail for t in rows.column(1).to_pylist()]
-                    size = np.array([len(g) // 4 for g in got], np.int64)
-                    edge = np.concatenate(([0], np.cumsum(size)))
-                    ids = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.frombuffer(b"".join(got), "<i4")))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), part, np.int32)), rows.column(0), pa.array(start + edge[:-1]), pa.array(size.astype(np.int32)), ids], ["part", "doc_id", "part_start", "n_tokens", "ids"])
+                for block in K.blocks(batch.column(1)):
+                    ids, edge = ended(*enc.encode_block(block), end_id)
+                    size = np.diff(edge)
+                    column = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids.view(np.int32)))
+                    arrays = [pa.array(np.full(len(size), part, np.int32)), batch.column(0).slice(block.first, len(size)), pa.array(start + edge[:-1]), pa.array(size.astype(np.int32)), column]
+                    yield pa.RecordBatch.from_arrays(arrays, ["part", "doc_id", "part_start", "n_tokens", "ids"])
                     start += int(edge[-1])
 
         return run
@@ -66,15 +64,20 @@ def write_tokens(docs: DataFrame, path: str | None = None, *, tokenizer: str | N
     """Encode ``text`` of ``docs``, append ``end_id`` to each, write the files; returns their folder.
 
     Null texts count as empty and so hold ``end_id`` alone.  Rows are ordered by
-    ``doc_id`` (null first), repeated ids by a hash of their text.  An empty
-    table gives a folder without rows.  Other columns are ignored.
+    ``doc_id`` (null first), repeated ids by a hash of their text, repeated rows
+    as they come; each is stored.  An id that very many rows repeat, or lack, is
+    spread over tasks by those further keys.  An empty table gives a folder
+    without rows.  Other columns are ignored, whatever their names.  Texts are
+    encoded a bounded number of bytes at a time, or one by one.
     """
     spark = docs.sparkSession
     ship_package(spark)
     path = path or scratch_path(spark, "tokens")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    encoded(ordered, tokenizer, _emit(end_id), SCHEMA).write.options(**layout(**sizes)).parquet(path)
+    order = [F.col("doc_id"), F.col("_hash"), F.col("_place")]
+    keyed = rows.withColumn("_hash", F.xxhash64("text")).withColumn("_place", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    encoded(ordered.select("doc_id", "text"), tokenizer, _emit(end_id), SCHEMA).write.options(**layout(**sizes)).parquet(path)
     return path
 
 

@@ -4,10 +4,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from curatrix.llm import packing, token_store
+from curatrix.llm import kernels as K
+from curatrix.llm import packing, queries, token_store, tokens
 from curatrix.llm.tokens import Encoder, default_tokenizer
 
 VOCABULARY = open(default_tokenizer(), encoding="utf-8").read()  # noqa: SIM115
@@ -22,16 +25,50 @@ def ids(text):
 @pytest.mark.parametrize("alphabet", ALPHABETS)
 def test_encoder_equals_library(alphabet):
     rng, enc = random.Random(7), Encoder(VOCABULARY, cached=200)
-    for _ in range(400):
-        text = "".join(rng.choices(alphabet, k=rng.randint(0, 80)))
-        assert np.frombuffer(enc.encode(text), "<u4").tolist() == ids(text), repr(text)
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 80))) for _ in range(400)]
+    for text in texts:
+        assert enc.encode(text) == ids(text), repr(text)
+    together(enc, texts)
 
 
-def test_long_pieces_and_mixed_texts():
+def together(enc, texts):
+    """Blocks of several texts give what single texts do."""
+    at = 0
+    for block in K.blocks(pa.array(texts, pa.string()), 300):
+        got, edge = enc.encode_block(block)
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            assert got[lo:hi].tolist() == ids(texts[at]), repr(texts[at])
+            at += 1
+    assert at == len(texts)
+
+
+def test_all_alphabets_in_one_block():
+    rng = random.Random(8)
+    texts = ["".join(rng.choices(rng.choice(ALPHABETS), k=rng.randint(0, 40))) for _ in range(500)] + ["'", "s", "'", "", "ll", "x'", "'", "re", "'s", None]
+    together(Encoder(VOCABULARY, cached=300), texts)
+
+
+def test_apostrophes_and_lengths_around_sixteen():
+    rng = random.Random(9)
+    bits = ["'", "''", "s", "t", "re", "ve", "m", "ll", "l", "d", "r", "v", " ", "!", "1", "22", "é", "“", "xylophone", "a" * 15, "a" * 16, "b" * 17, "é" * 8, "é" * 9, "c" * 70]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(1500)]
+    together(Encoder(VOCABULARY, cached=500), texts)
+
+
+def test_plain_signs_keep_their_bytes_in_lower_case():
+    signs = [c for c in map(chr, range(0x20, 0x2100)) if tokens._PLAIN.fullmatch(c)]
+    assert len(signs) > 500
+    for c in signs:
+        assert len(c.lower()) == 1 and len(c.lower().encode()) == len(c.encode()) and tokens._PLAIN.fullmatch(c.lower()), hex(ord(c))
+
+
+def test_long_pieces_and_mixed_texts(monkeypatch):
+    monkeypatch.setattr(tokens, "STRETCH", 1000)
     enc = Encoder(VOCABULARY)
-    for text in ("x" * 5000, "ab1" * 3000, " ".join(ALPHABETS) * 3, "It's we'LL Don'T'd 'RE", "", " \n\t"):
+    for text in ("x" * 5000, "ab1" * 3000, " ".join(ALPHABETS) * 3, "It's we'LL Don'T'd 'RE", "", " \n\t", "Some words, it's 22 more. " * 900, "y" * 3000 + " z " * 2000):
         for _ in range(2):
-            assert np.frombuffer(enc.encode(text), "<u4").tolist() == ids(text)
+            assert enc.encode(text) == ids(text)
+        together(enc, [text, "end"])
 
 
 ROWS = [(5, "Hello world"), (3, None), (9, ""), (1, "a " * 30_000), (5, "Hello world"), (7, "naïve café “x”"), (None, "no id")]
@@ -76,6 +113,47 @@ def test_store_of_nothing(spark):
     assert token_store.checksums(token_store.with_starts(token_store.read_tokens(spark, path))).count() == 0
 
 
+SF = "/root/testdata/sf0.01"
+
+
+def test_registered_queries_against_the_library(spark):
+    """Every document's ids, checksums and places as the library alone gives them."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    raw = {i: ids(t) for i, t in texts.items()}
+    start, want = 0, {}
+    for i in sorted(texts):
+        own = [*raw[i], 1]
+        want[i] = (start, len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
+        start += len(own)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op1_token_store(spark, SF).collect()} == want
+    pieces = {}
+    for i in texts:
+        own = [*raw[i], 0]
+        for lo in range(0, len(own), 2048):
+            part = np.array(own[lo : lo + 2048], "<u4").tobytes()
+            pieces[i, lo // 2048] = (lo, len(part) // 4, zlib.crc32(part))
+    got = queries.op10_packing(spark, SF).collect()
+    assert len(got) == len(pieces) and {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == pieces
+
+
+def test_many_long_texts_in_one_batch(spark):
+    docs = spark.range(300, numPartitions=1).selectExpr("id AS doc_id", "repeat(concat('long text ', id, ' '), 70000) AS text")
+    n = {r.doc_id: r.n_tokens for r in token_store.read_tokens(spark, token_store.write_tokens(docs)).select("doc_id", "n_tokens").collect()}
+    one = {k: len(ids(f"long text {k} ")) * 70_000 + 1 for k in (0, 7, 299)}
+    assert len(n) == 300 and {k: n[k] for k in one} == one
+
+
+def test_repeated_rows_are_spread(spark):
+    docs = spark.range(4000).selectExpr("cast(null as long) AS doc_id", "'' AS text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = token_store.read_tokens(spark, token_store.write_tokens(docs)).groupBy("part").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in parts) == 4000 and max(r["count"] for r in parts) < 2000
+    assert packing.pack_documents(docs, rows_per_task=500).groupBy((F.col("sequence_id") / 2**40).cast("int").alias("t")).count().count() > 4
+
+
 def test_best_fit_takes_the_tightest_bin():
     fit = packing.BestFit(10, 8)
     assert [fit.place(n) for n in (7, 6, 3, 4, 10, 1)] == [(0, 0), (1, 0), (0, 7), (1, 6), (2, 0), (3, 0)]
