@@ -7,10 +7,12 @@ without that setting (tests, notebooks) falls back to a temporary folder.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,22 +59,55 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/curatrix-{name}-{uuid.uuid4().hex}"
 
 
+_scopes: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` as a scratch table and read it back, which cuts its lineage.
 
     The table is a plain Parquet folder in shared storage, so it survives the
-    loss of any executor (a local checkpoint would not).
+    loss of any executor (a local checkpoint would not).  It goes when the
+    ``scratch_scope`` around the call ends, or by ``drop_scratch``.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Delete the scratch tables written inside, but for those written by the function that it gives.
+
+    That function is ``materialize`` for results: their tables belong to the
+    scope around this one, or to the caller.
+    """
+    _scopes.append([])
+    kept: list[str] = []
+
+    def result(df: DataFrame, name: str) -> DataFrame:
+        out = materialize(df, name)
+        kept.append(_scopes[-1].pop())
+        return out
+
+    try:
+        yield result
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+        if _scopes:
+            _scopes[-1] += kept
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Delete the scratch table behind a frame returned by ``materialize``."""
-    spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/curatrix-" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, folder)
