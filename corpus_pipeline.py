@@ -8,10 +8,9 @@ All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from curatrix.llm import decontam, labelled, minhash, packing, quality, secrets
-from curatrix.session import materialize, ship_package
+from curatrix.session import drop_scratch, scratch_scope, ship_package
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,15 +23,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group linked at 0.8 of five-word shingles: the smallest ``doc_id``, one without an id last.
 
     A document is a ``doc_id`` with a text: exact repeats stay once, unlike texts
-    under one ``doc_id`` all count.  Rows with neither stay.  Documents are
-    numbered in the order of ``doc_id``, so each has a key of its own.
+    under one ``doc_id`` all count.  Rows with neither stay.  An empty table gives
+    no rows.
     """
-    nothing = F.col("doc_id").isNull() & (F.coalesce("text", F.lit("")) == "")
-    once = docs.where(~nothing).withColumn("_h", F.sha2(F.col("text").cast("binary"), 256)).dropDuplicates(["doc_id", "_h"])
-    order = [F.col("doc_id").asc_nulls_last(), F.col("_h")]
-    keyed = materialize(once.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_key", F.monotonically_increasing_id()).drop("_h"), "keyed")
-    kept = minhash.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), shingle=5, percent=80).where("kept").select(F.col("doc_id").alias("_key"))
-    return keyed.join(kept, "_key", "left_semi").select(*docs.columns).unionByName(docs.where(nothing))
+    return minhash.drop_duplicates(docs, shingle=5, percent=80)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,6 +57,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage for ``documents`` of ``sf_dir``."""
     ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch_scope(spark) as result:
+            docs = result(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop_scratch(before)  # the next stage's table is whole
+        before = docs
     return docs
