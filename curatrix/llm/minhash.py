@@ -80,13 +80,13 @@ def _digest(s: np.ndarray) -> bytes:
 def _sign(classes: np.ndarray, shingle: int, coordinates: int) -> Callable:
     """Map (doc_id, text_hash, text) to (doc_id, text_hash, n, digest, keys, marks).
 
-    ``keys`` has 64 bits for each coordinate, so that lists of unlike texts stay
-    short however many there are.
+    ``keys`` has 40 bits for each coordinate after the coordinate's number, so
+    that lists of unlike texts stay short up to some 10**12 texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xor, times = (c[:, None] for c in _coefficients(coordinates))
-        salt = K.mix64(np.arange(1, coordinates + 1, dtype=np.uint64))
+        number = np.arange(coordinates, dtype=np.uint64) << np.uint64(40)
         for batch in batches:
             for block in K.blocks(batch.column(2), 4 << 20):
                 w = K.words(block, classes)
@@ -102,9 +102,9 @@ def _sign(classes: np.ndarray, shingle: int, coordinates: int) -> Callable:
                     least = np.full(coordinates, np.iinfo(np.uint64).max, np.uint64)
                     for at in range(0, len(s), 2048):
                         np.minimum(least, ((s[None, at : at + 2048] ^ xor) * times).min(1), out=least)
-                    key = K.mix64(least ^ salt)
-                    keys.append(key.astype("<u8").tobytes())
-                    marks.append((key >> np.uint64(56)).astype(np.uint8).tobytes())
+                    least = K.mix64(least)
+                    keys.append((number | least >> np.uint64(24)).astype("<u8").tobytes())
+                    marks.append((least >> np.uint64(56)).astype(np.uint8).tobytes())
                     digests.append(_digest(s))
                 own = [batch.column(k).slice(block.first, len(sizes)) for k in range(2)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), *(pa.array(c, pa.binary()) for c in (digests, keys, marks))], ["doc_id", "text_hash", "n", "digest", "keys", "marks"])
@@ -222,31 +222,29 @@ def _agree(coordinates: int, matches: int) -> Callable:
 
 
 def _sets(classes: np.ndarray, shingle: int) -> Callable:
-    """Map (node, digest, text) to (node, value): a node's set, once a task and only from its own text."""
+    """Map (comp, node, blocks, digest, text) to (comp, node, blocks, value): a node's set, once a task and only from its own text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            at = 0
-            for block in K.blocks(batch.column(2), 4 << 20):
+            for block in K.blocks(batch.column(4), 4 << 20):
                 rows = len(block.bounds) - 1
-                own = batch.column(0).slice(at, rows).to_pylist()
-                digests = batch.column(1).slice(at, rows).to_pylist()
-                at += rows
+                own = batch.slice(block.first, rows)
                 w = K.words(block, classes)
                 h = K.word_hashes(block, w)
-                nodes, sets = [], []
-                for node, digest, lo, hi in zip(own, digests, w.bounds[:-1], w.bounds[1:], strict=True):
+                at, sets = [], []
+                for k, (node, digest) in enumerate(zip(own.column(1).to_pylist(), own.column(3).to_pylist(), strict=True)):
                     if node in seen:
                         continue
-                    s = K.shingle_hashes(h[lo:hi], shingle)
+                    s = K.shingle_hashes(h[w.bounds[k] : w.bounds[k + 1]], shingle)
                     if _digest(s) == digest:
                         if len(seen) >= 500_000:
                             seen.clear()
                         seen.add(node)
-                        nodes.append(node)
+                        at.append(k)
                         sets.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "value"])
+                kept = own.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns[:3], pa.array(sets, pa.binary())], ["comp", "node", "blocks", "value"])
 
     return run
 
@@ -356,17 +354,16 @@ def _classed(docs: DataFrame, shingle: int, percent: int, classes: np.ndarray, c
         .where(F.col("rank") <= F.col("shared") - need + 1)  # lists of one node count as the shortest
     )
     met = materialize(kept.groupBy("node", "comp").agg(F.count("*").alias("c")).join(reps.select("node", F.col("marks").alias("value")), "node"), "met")
-    sizes = met.groupBy("comp").agg(F.count("*").alias("_f")).where("_f > 1").select("comp", F.ceil(F.col("_f") / list_rows).alias("blocks"))
-    groups = materialize(met.join(sizes, "comp").select("comp", "node", "blocks", "value"), "groups")
+    large = met.groupBy("comp").agg(F.count("*").alias("_f")).where(F.col("_f") > list_rows).select("comp", F.ceil(F.col("_f") / list_rows).alias("blocks"))
+    groups = met.join(_few(materialize(large, "large")), "comp", "left").select("comp", "node", F.coalesce("blocks", F.lit(1)).alias("blocks"), "value")
     candidates = materialize(_linked(groups, _agree(coordinates, need)), "candidates")
 
     sized = candidates.join(reps.select("node", "n", "digest", "first"), "node").withColumnRenamed("component", "comp")
     plan = materialize(sized, "plan")
     totals = plan.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") * 8 / group_bytes), F.ceil(F.count("*") / list_rows)).alias("blocks"))
-    wanted = _few(plan.select("node", "digest", F.col("first.doc_id").alias("_d"), F.col("first.text_hash").alias("_h")))
-    text = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("text_hash").eqNullSafe(F.col("_h"))).select("node", "digest", "text")
-    sets = text.mapInArrow(_task(_sets(classes, shingle)), "node long, value binary")
-    full = materialize(plan.select("comp", "node").join(totals, "comp").join(sets, "node").select("comp", "node", "blocks", "value"), "sets")
+    wanted = materialize(plan.join(totals, "comp").select("comp", "node", "blocks", "digest", F.col("first.doc_id").alias("_d"), F.col("first.text_hash").alias("_h")), "wanted")
+    text = docs.join(_few(wanted), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("text_hash").eqNullSafe(F.col("_h"))).select("comp", "node", "blocks", "digest", "text")
+    full = materialize(text.mapInArrow(_task(_sets(classes, shingle)), "comp long, node long, blocks long, value binary"), "sets")
     linked = materialize(_linked(full, _confirm(percent)), "classes")
 
     firsts = linked.join(reps.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("first"))
