@@ -18,6 +18,7 @@ are merged for each document.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from curatrix.llm import kernels as K
 from curatrix.llm import workers
-from curatrix.session import ship_package
+from curatrix.session import materialize, scratch_scope, ship_package
 
 Items = list[tuple[str, list[bytes]]]
 SPANS = "array<struct<lo:int,hi:int>>"
@@ -223,7 +224,7 @@ def _task(run: Callable) -> Callable:
 def item_groups(benchmark: DataFrame, automaton_words: int) -> Iterator[Items]:
     """Items as (id, words) in groups of at most ``automaton_words`` words or one item; null ids read as ''.
 
-    Only one group is held by the driver at a time.
+    Items come one partition at a time and groups are made as they are asked for.
     """
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     group: Items = []
@@ -238,47 +239,86 @@ def item_groups(benchmark: DataFrame, automaton_words: int) -> Iterator[Items]:
     yield group
 
 
+def _groups(benchmark: DataFrame, automaton_words: int) -> tuple[Items, Iterator[Items] | None]:
+    """The only group, or none and all groups."""
+    groups = item_groups(benchmark, automaton_words)
+    first, second = next(groups), next(groups, None)
+    return ([], itertools.chain((first, second), groups)) if second is not None else (first, None)
+
+
+def _hits(texts: DataFrame, groups: Iterator[Items], window: int) -> DataFrame:
+    """``_hash, _items, _spans`` of the texts of ``texts(_hash, text)`` that any group hits, spans not merged.
+
+    One pass for each group, whose hits are written before the next group is
+    fetched: the driver and the workers hold one group at a time.
+    """
+    found = None
+    for group in groups:
+        here = texts.mapInArrow(_task(_matching(group, window)), f"_hash binary, _items array<string>, _spans {SPANS}")
+        here = materialize(here, "hits")
+        found = here if found is None else found.unionByName(here)
+    one = found.groupBy("_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_items")))).alias("_items"), F.array_distinct(F.flatten(F.collect_set("_spans"))).alias("_spans"))
+    return materialize(one, "hits")
+
+
+def _matching(items: Items, window: int) -> Callable:
+    """Map (_hash, text) to the hits of a group, each text's once in a task."""
+    search = _search(items, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            probe = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(1)], ["doc_id", "text"])
+            (found,) = search(iter([probe]))
+            at = pa.array(np.flatnonzero(found.column(2).to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), found.column(3).take(at), found.column(4).take(at)], ["_hash", "_items", "_spans"])
+
+    return run
+
+
+def _text_hash(text: F.Column) -> F.Column:
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, automaton_words: int = 200_000) -> DataFrame:
     """``doc_id, n_words, n_hit, items array<string>, spans array<struct<lo, hi>>`` for each row of ``docs``.
 
     ``n_hit`` counts words inside an occurrence of ``window`` consecutive item
     words, or of a whole item of fewer; ``items`` are the sorted ids of items
     with such occurrences; ``spans`` are disjoint byte ranges of the text's
-    UTF-8 form.  Null texts have no words; items without words match nothing;
-    an empty benchmark hits nothing.  Repeated rows get a result each.
+    UTF-8 form.  Null and empty texts have no words; items without words match
+    nothing; an empty benchmark hits nothing; an empty ``docs`` gives no rows.
+    Equal texts have equal results; repeated rows get one each; other columns are
+    ignored, whatever their names.  Texts are searched whole.
+
+    A benchmark of more than ``automaton_words`` is searched in passes; their
+    hits, by a digest of the text, are merged and joined back.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    groups = list(item_groups(benchmark, automaton_words))
-    if len(groups) == 1:
-        return rows.mapInArrow(_task(_search(groups[0], window)), FOUND)
-    # One pass for each group over rows that carry a key; then spans are joined for each distinct row.
-    keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("_k"))
-    passes = [keyed.mapInArrow(_task(_search(g, window)), f"{FOUND}, _k long") for g in groups]
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    one = every.groupBy("doc_id", "_k").agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("s"), F.count("*").alias("n"))
-    start = F.expr("array(struct(-1 as lo, -1 as hi))")
-    merged = F.aggregate(
-        "s", start,
-        lambda acc, x: F.when(x["lo"] <= F.element_at(acc, -1)["hi"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["lo"].alias("lo"), F.greatest(F.element_at(acc, -1)["hi"], x["hi"]).alias("hi"))))).otherwise(F.concat(acc, F.array(x))),
-        lambda acc: F.slice(acc, 2, F.size(acc)),
-    )
-    spans = one.withColumn("spans", merged).withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("n") / len(groups)).cast("int"))))
-    text = keyed.groupBy("doc_id", "_k").agg(F.first("text").alias("text"))
-    back = spans.alias("s").join(text.alias("t"), F.col("s.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("s._k") == F.col("t._k"))).select("s.doc_id", "t.text", "s.n_words", "s.items", "s.spans")
-    return back.mapInArrow(_recount, FOUND)
+    only, groups = _groups(benchmark, automaton_words)
+    if groups is None:
+        return rows.mapInArrow(_task(_search(only, window)), FOUND)
+    with scratch_scope(docs.sparkSession) as result:
+        hits = result(_hits(rows.select(_text_hash(F.col("text")).alias("_hash"), "text"), groups, window), "hit-texts")
+    keyed = rows.withColumn("_hash", _text_hash(F.col("text")))
+    return keyed.join(hits, "_hash", "left").select("doc_id", "text", "_items", "_spans").mapInArrow(_task(_recount), FOUND)
 
 
 def _recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words inside merged spans, counted on the text."""
+    """Words of the text, and those inside merged spans."""
+    kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
     for batch in batches:
-        n_hit = []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True):
-            raw = (text or "").encode()
-            n_hit.append(sum(len(item_words(raw[s["lo"] : s["hi"]].decode())) for s in spans))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_hit, pa.int64()), batch.column(3), batch.column(4)], ["doc_id", "n_words", "n_hit", "items", "spans"])
+        for at, texts in K.pieces(batch.column(1)):
+            part = batch.slice(at, len(texts))
+            n_words, n_hit, merged = [], [], []
+            for text, spans in zip(texts, part.column(3).to_pylist(), strict=True):
+                whole, n, hit = merge_spans(text or "", spans or [])
+                n_words.append(n)
+                n_hit.append(hit)
+                merged.append(whole)
+            items = [x or [] for x in part.column(2).to_pylist()]
+            arrays = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(merged, kind)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["doc_id", "n_words", "n_hit", "items", "spans"])
 
 
 def cut_spans(text: str, spans: list[dict], mark: str = " ") -> str:
@@ -294,45 +334,36 @@ def cut_spans(text: str, spans: list[dict], mark: str = " ") -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, max_share: float = 0.5, automaton_words: int = 200_000) -> DataFrame:
     """``docs`` with hit spans removed from ``text``; documents over ``max_share`` of hit words go.
 
-    A text without hits stays as it is, to the letter.  ``n_chars``, if there is
-    one, follows the new text.  Null texts stay null.  All columns stay.
+    A text without hits stays as it is, to the letter; a share equal to
+    ``max_share`` stays.  ``n_chars``, if there is one, follows the new text.
+    Null texts stay null, empty ones empty.  All columns stay; repeated rows are
+    treated alike; an empty table, or benchmark, changes nothing.
+
+    A benchmark of more than ``automaton_words`` is searched in passes over the
+    untouched text; their spans are merged, cut once and the share is tested once,
+    so the bound does not change the result.
     """
     ship_package(docs.sparkSession)
-    groups = list(item_groups(benchmark, automaton_words))
+    only, groups = _groups(benchmark, automaton_words)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at = (docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else -1)
-    if len(groups) == 1:
-        return docs.mapInArrow(_task(_clean(groups[0], window, max_share, *at)), schema)
-    # A pass for each group adds its spans on the untouched text; the last one merges them, cuts once and tests the share once.
-    extra = "_spans"
-    while extra in docs.columns:
-        extra += "_"
-    out = docs.withColumn(extra, F.array().cast(SPANS))
-    for group in groups:
-        out = out.mapInArrow(_task(_gather(group, window, at[0])), f"{schema}, `{extra}` {SPANS}")
-    return out.mapInArrow(_task(_cut_gathered(max_share, *at)), schema)
-
-
-def _gather(items: Items, window: int, text_at: int) -> Callable:
-    """Add the items' spans to those in the last column."""
-    search = _search(items, window)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            probe = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(text_at)], ["doc_id", "text"])
-            (found,) = search(iter([probe]))
-            columns = list(batch.columns)
-            if found.column(2).to_numpy().any():
-                columns[-1] = pa.array([a + b for a, b in zip(columns[-1].to_pylist(), found.column(4).to_pylist(), strict=True)], columns[-1].type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
-
-    return run
+    if groups is None:
+        return docs.mapInArrow(_task(_clean(only, window, max_share, *at)), schema)
+    names = [f"_c{k}" for k in range(len(docs.columns))]  # the caller's names may clash with ours
+    plain = docs.toDF(*names)
+    text = F.col(names[at[0]])
+    with scratch_scope(docs.sparkSession) as result:
+        hits = result(_hits(plain.select(_text_hash(text).alias("_hash"), text.cast("string").alias("text")), groups, window).drop("_items"), "hit-texts")
+    joined = plain.withColumn("_hash", _text_hash(text)).join(hits, "_hash", "left").select(*names, "_spans")
+    return joined.mapInArrow(_task(_cut_gathered(max_share, *at)), schema)
 
 
 def merge_spans(text: str, spans: list[dict]) -> tuple[list[dict], int, int]:
     """Byte ranges over whole words merged where their words overlap or adjoin; the words of the text, and those inside."""
     block = next(K.blocks(pa.array([text]), 1 << 31))
     w = K.words(block, K.ALNUM)
+    if not spans:
+        return [], len(w.start), 0
     lo = np.searchsorted(w.start, [s["lo"] for s in spans])
     hi = np.searchsorted(w.end, [s["hi"] for s in spans]) + 1
     merged: list[list[int]] = []
@@ -350,8 +381,8 @@ def _cut_gathered(max_share: float, text_at: int, chars_at: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns, spans = list(batch.columns[:-1]), batch.column(batch.num_columns - 1)
-            rows = np.flatnonzero(pc.list_value_length(spans).to_numpy(zero_copy_only=False))
-            keep = np.ones(batch.num_rows, bool)
+            rows = np.flatnonzero(pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False))
+            keep, names = np.ones(batch.num_rows, bool), batch.schema.names[:-1]
             if len(rows):
                 texts = columns[text_at].to_pylist()
                 chars = columns[chars_at].to_pylist() if chars_at >= 0 else None
@@ -364,7 +395,7 @@ def _cut_gathered(max_share: float, text_at: int, chars_at: int) -> Callable:
                 columns[text_at] = pa.array(texts, columns[text_at].type)
                 if chars is not None:
                     columns[chars_at] = pa.array(chars, columns[chars_at].type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
 
     return run
 

@@ -213,7 +213,15 @@ def _apply(shared, text_at: int, least: float | None) -> Callable:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
-    """``doc_id, score`` for each row of ``docs``; null texts are scored as empty ones."""
+    """``doc_id, score`` for each row of ``docs``, learned from ``labels(doc_id, quality)``.
+
+    All rows of ``labels`` may be learned from, up to the bounds of ``fitted``.
+    Without labels every score is 0.5, with labels of one class all are that
+    class's smoothed share.  Null texts are scored as empty ones; equal texts have
+    equal scores, whatever their rows; repeated rows, and rows without an id, get
+    a score each; an empty table gives no rows.  Other columns are ignored,
+    whatever their names.
+    """
     model = fitted(docs, labels, **bounds)
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -221,7 +229,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFram
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, *, least: float = 0.5, **bounds: int) -> DataFrame:
-    """The rows of ``docs`` whose score is at least ``least``, with all their columns."""
+    """The rows of ``docs`` whose score is at least ``least``, with all their columns.
+
+    Scores are those of ``score_quality``; a score equal to ``least`` stays.  Null
+    and empty texts are judged as empty ones, repeated rows alike; an empty table
+    gives no rows.
+    """
     model = fitted(docs, labels, **bounds)
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
     return docs.mapInArrow(_apply(shared, docs.columns.index("text"), least), docs.schema)

@@ -4,7 +4,8 @@ Besides three patterns of well-known shape, source and configuration syntax is
 read as name-literal pairs: ``name = "text"``, ``name: text``, ``"name" => 'text'``.
 Pairs define constants; a right-hand side that names a constant, or joins
 literals and constants with ``+``, takes their value, so a secret is found where
-it stands although the sensitive name appears elsewhere.  A literal's score
+it stands although the sensitive name appears elsewhere.  A constant is looked
+for above its use (the last one of the name) and then below it (the first one).  A literal's score
 weighs how sensitive the names are that it reaches and how random it looks.
 
 Kinds: ``assign``, ``access`` and ``hex`` are the patterns; ``literal`` is a
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.llm import kernels as K
 from curatrix.llm import workers
 from curatrix.session import ship_package
 
@@ -83,10 +85,24 @@ class _Value:
         self.flows = False
 
     def counted(self, text: str) -> Counter:
-        if self.counts is None:
-            self.counts = Counter()
-            for p in self.parts:  # values of constants have been counted before: no deep recursion
-                self.counts.update(p.counted(text) if isinstance(p, _Value) else text[p[0] : p[1]])
+        """Character counts, values of constants before those that use them; a value that reaches itself adds nothing there."""
+        stack, open_ = [self], {id(self)}
+        while stack:
+            v = stack[-1]
+            if v.counts is None:
+                wait = [p for p in v.parts if isinstance(p, _Value) and p.counts is None and id(p) not in open_]
+                if wait:
+                    open_.add(id(wait[-1]))
+                    stack.append(wait[-1])
+                    continue
+                counts = Counter()
+                for p in v.parts:
+                    if not isinstance(p, _Value):
+                        counts.update(text[p[0] : p[1]])
+                    elif p.counts is not None:
+                        counts.update(p.counts)
+                v.counts = counts
+            stack.pop()
         return self.counts
 
     def reached(self) -> Iterator[tuple[int, int]]:
@@ -117,6 +133,10 @@ def lexed_spans(text: str) -> list[tuple[int, int, str]]:
     if "=" not in text and ":" not in text:
         return []
     constants: dict[str, _Value] = {}
+    firsts: dict[str, _Value] = {}
+    values: list[_Value] = []
+    ahead: list[tuple[_Value, int, str]] = []  # words that name no constant so far
+    sensitive: list[tuple[float, _Value]] = []
     found: dict[tuple[int, int], str] = {}
     back, n = text[::-1], len(text)
     start, end, run_at, run = 0, 0, 0, None  # the last unquoted stretch, and the characters of its part from run_at
@@ -125,6 +145,7 @@ def lexed_spans(text: str) -> list[tuple[int, int, str]]:
         if not name:
             continue
         parts: list = []
+        words: list[tuple[int, str]] = []
         direct, at = True, op.end()
         before = at
         while term := _TERM.match(text, at):
@@ -137,10 +158,13 @@ def lexed_spans(text: str) -> list[tuple[int, int, str]]:
             if "\n" in text[before:a] and _PAIR.match(text, at):
                 break
             word = _WORD.match(text, a, b) if k == 3 else None
-            known = constants.get(word[0].rstrip(".")) if word and word.end() == b else None
-            if known:
-                known.counted(text)
-                direct = False
+            known = None
+            if word and word.end() == b:
+                known = constants.get(word[0].rstrip("."))
+                if known:
+                    direct = False
+                else:
+                    words.append((len(parts), word[0].rstrip(".")))
             parts.append(known or (a, b))
             before = at = b if k == 3 else b + 1
             plus = _PLUS.match(text, at)
@@ -150,8 +174,12 @@ def lexed_spans(text: str) -> list[tuple[int, int, str]]:
         if not parts:
             continue
         value = constants[name] = _Value(parts)
+        firsts.setdefault(name, value)
+        values.append(value)
+        ahead += [(value, k, word) for k, word in words]
         weight = name_weight(name)
         if weight:
+            sensitive.append((weight, value))
             if direct and len(parts) == 1 and start <= parts[0][0] < end:
                 # Several names may stand in one unquoted stretch: its characters are counted once.
                 a = parts[0][0]
@@ -168,6 +196,20 @@ def lexed_spans(text: str) -> list[tuple[int, int, str]]:
                 else:
                     for span in value.reached():
                         found.setdefault(span, "flow")
+    # A word may name a constant that is defined further down.
+    late = [(v, k, firsts[w]) for v, k, w in ahead if w in firsts and firsts[w] is not v]
+    if late:
+        found = {span: kind for span, kind in found.items() if kind == "literal"}
+        for v in values:
+            v.counts, v.flows = None, False
+        for v, k, target in late:
+            for span in v.parts:
+                found.pop(span, None)
+            v.parts[k] = target
+        for weight, v in sensitive:
+            if any(isinstance(p, _Value) for p in v.parts) and weight * _randomness(v.counted(text)) >= THRESHOLD:
+                for span in v.reached():
+                    found.setdefault(span, "flow")
     return sorted((a, b, kind) for (a, b), kind in found.items() if b > a)
 
 
@@ -201,8 +243,8 @@ def _scan() -> Callable:
         for batch in batches:
             counts: list[list[int]] = [[], [], []]
             sha, every = [], []
-            for at in range(0, batch.num_rows, 256):
-                for text in batch.column(1).slice(at, 256).to_pylist():
+            for _, texts in K.pieces(batch.column(1)):
+                for text in texts:
                     base, spans = spans_of(text)
                     for c, k in zip(counts, BASE, strict=True):
                         c.append(sum(s[2] == k for s in base))
@@ -219,6 +261,10 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
     Spans are ``kind:start:end`` in code points, end exclusive, by start and then
     kind, joined by commas.  Null texts count as empty: no spans, an empty string.
+    Equal texts have equal spans; repeated rows, and rows without an id, get a
+    result each; an empty table gives no rows.  Other columns are ignored,
+    whatever their names.  Texts are read whole, whatever their length, a bounded
+    number of bytes or one text at a time.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -228,19 +274,21 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 def _redact(text_at: int, chars_at: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text_at).to_pylist()
-            chars = batch.column(chars_at).to_pylist() if chars_at >= 0 else None
-            for r, text in enumerate(texts):
-                spans = spans_of(text)[1]
-                if spans:
-                    texts[r] = redacted(text, spans)
-                    if chars is not None:
-                        chars[r] = len(texts[r])
-            columns = list(batch.columns)
-            columns[text_at] = pa.array(texts, columns[text_at].type)
-            if chars is not None:
-                columns[chars_at] = pa.array(chars, columns[chars_at].type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            for at, texts in K.pieces(batch.column(text_at)):
+                part = batch.slice(at, len(texts))
+                marked = {r: spans for r, text in enumerate(texts) if (spans := spans_of(text)[1])}
+                if marked:
+                    columns = list(part.columns)
+                    for r, spans in marked.items():
+                        texts[r] = redacted(texts[r], spans)
+                    columns[text_at] = pa.array(texts, columns[text_at].type)
+                    if chars_at >= 0:
+                        chars = columns[chars_at].to_pylist()
+                        for r in marked:
+                            chars[r] = len(texts[r])
+                        columns[chars_at] = pa.array(chars, columns[chars_at].type)
+                    part = pa.RecordBatch.from_arrays(columns, batch.schema.names)
+                yield part
 
     return run
 
@@ -248,7 +296,9 @@ def _redact(text_at: int, chars_at: int) -> Callable:
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``[SECRET]``; ``n_chars``, if any, follows.
 
-    All rows and columns stay; texts without secrets, and null ones, are unchanged.
+    All rows and columns stay, repeated rows too; texts without secrets, and null
+    and empty ones, are unchanged.  Overlapping spans become one mark.  An empty
+    table gives no rows.
     """
     ship_package(docs.sparkSession)
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1

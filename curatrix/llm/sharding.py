@@ -14,6 +14,8 @@ over (bucket, input partition) so that a hot bucket is not one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -47,26 +49,38 @@ def _directory(sizes: DataFrame, depth: int, first: int, limit: int) -> DataFram
     return full.where("fits").join(parent, ["depth", "prefix"], "left_anti").select("depth", "prefix", "bytes")
 
 
-def _chunked(rows: DataFrame, limit: int) -> DataFrame:
+def _chunked(rows: DataFrame, limit: int, own: Callable[[str], str]) -> DataFrame:
     """Number chunks of rows that share all hash bits, none over ``limit`` but single rows.
 
     Rows of half the limit or less are dealt by the half-limit step in which
     their running size starts, so a chunk holds at most one half plus one row;
-    each larger row is a chunk of its own, numbered below zero.
+    each larger row is a chunk of its own, numbered below zero.  The rows are
+    written with the number of the task that wrote them and their place in it
+    first: both are used twice and must be the same each time.
     """
     half = limit // 2
     place = ["shard_depth", "shard_prefix"]
-    big = F.col("_b") > half
-    rows = rows.withColumn("_s", F.spark_partition_id())
-    local = W.partitionBy(*place, "_s").orderBy("_b", "_o").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("_small", F.coalesce(F.sum(F.when(~big, F.col("_b"))).over(local), F.lit(0))).withColumn("_large", F.count(F.when(big, 1)).over(local))
-    parts = rows.groupBy(*place, "_s").agg(F.sum(F.when(~big, F.col("_b")).otherwise(0)).alias("_ps"), F.count(F.when(big, 1)).alias("_pl"))
-    before = W.partitionBy(*place).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
-    offs = parts.select(*place, "_s", F.coalesce(F.sum("_ps").over(before), F.lit(0)).alias("_os"), F.coalesce(F.sum("_pl").over(before), F.lit(0)).alias("_ol"))
-    chunk = F.when(big, -1 - F.col("_ol") - F.col("_large")).otherwise(F.floor((F.col("_os") + F.col("_small")) / F.lit(half)))
-    out = rows.join(offs, [*place, "_s"]).withColumn("shard_chunk", chunk.cast("int"))
-    sums = out.groupBy(*place, "shard_chunk").agg(F.sum("_b").alias("shard_bytes"))
-    return out.drop("shard_bytes", "_s", "_small", "_large", "_os", "_ol").join(sums, [*place, "shard_chunk"])
+    size, task, at = own("bytes"), own("task"), own("at")
+    rows = materialize(rows.withColumn(task, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()), "crowded")
+    big = F.col(size) > half
+    local = W.partitionBy(*place, task).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+    small, large, small_before, large_before = own("small"), own("large"), own("small_before"), own("large_before")
+    running = rows.withColumn(small, F.coalesce(F.sum(F.when(~big, F.col(size))).over(local), F.lit(0))).withColumn(large, F.count(F.when(big, 1)).over(local))
+    parts = rows.groupBy(*place, task).agg(F.sum(F.when(~big, F.col(size)).otherwise(0)).alias("s"), F.count(F.when(big, 1)).alias("l"))
+    before = W.partitionBy(*place).orderBy(task).rowsBetween(W.unboundedPreceding, -1)  # a row a task
+    offsets = parts.select(*place, task, F.coalesce(F.sum("s").over(before), F.lit(0)).alias(small_before), F.coalesce(F.sum("l").over(before), F.lit(0)).alias(large_before))
+    chunk = F.when(big, -1 - F.col(large_before) - F.col(large)).otherwise(F.floor((F.col(small_before) + F.col(small)) / F.lit(half)))
+    out = running.join(offsets, [*place, task]).withColumn("shard_chunk", chunk.cast("int"))
+    sums = out.groupBy(*place, "shard_chunk").agg(F.sum(size).alias("shard_bytes"))
+    return out.drop("shard_bytes", task, at, small, large, small_before, large_before).join(sums, [*place, "shard_chunk"])
+
+
+def _own_names(columns: list[str]) -> Callable[[str], str]:
+    """Names for working columns that no column of ``columns`` has, in any case."""
+    start = "_shard"
+    while any(c.lower().startswith(start) for c in columns):
+        start += "_"
+    return lambda name: f"{start}{name}"
 
 
 def shard(docs: DataFrame, *, key: str = "doc_id", size: F.Column | None = None, limit: int = 16 << 20, fine_bits: int | None = None) -> DataFrame:
@@ -75,51 +89,53 @@ def shard(docs: DataFrame, *, key: str = "doc_id", size: F.Column | None = None,
     A shard is (depth, prefix, chunk).  ``size`` gives a row's bytes, the UTF-8
     length of ``text`` by default; null texts have size 0.  No shard exceeds
     ``limit`` unless it is one single row that does.  Rows with equal or null
-    keys share a hash.  An empty table gives no rows.  Columns named like the
-    results are replaced.
+    keys share a hash; rows that tie in all bits are dealt into chunks, repeated
+    rows each on their own.  An empty table gives no rows.  Columns named like
+    the results are replaced; any other name is allowed.
     """
     size = F.coalesce((F.octet_length("text") if size is None else size).cast("long"), F.lit(0))
-    own = [c for c in docs.columns if c not in ("shard_depth", "shard_prefix", "shard_chunk", "shard_bytes")]
-    rows = docs.select(*own, key_hash(F.col(key)).alias("_h"), size.alias("_b"))
-    total = rows.agg(F.sum("_b")).first()[0] or 0
+    columns = [c for c in docs.columns if c not in ("shard_depth", "shard_prefix", "shard_chunk", "shard_bytes")]
+    own = _own_names(columns)
+    hashed, taken, cell, deep = own("hash"), own("bytes"), own("cell"), own("deep")
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], key_hash(F.col(key)).alias(hashed), size.alias(taken))
+    total = rows.agg(F.sum(taken)).first()[0] or 0
     bits = fine_bits or min(HASH_BITS, max(1, total // limit).bit_length() + 6)
 
     # Level by level: leaves of the directory, then what is still too large with eight more bits.
     levels: list[tuple[int, DataFrame, DataFrame]] = []
-    todo, first = rows.select("_h", "_b"), 0
+    todo, first = rows.select(hashed, taken), 0
     while True:
-        cells = todo.groupBy(_prefix(F.col("_h"), bits).alias("cell")).agg(F.sum("_b").alias("bytes"))
+        cells = todo.groupBy(_prefix(F.col(hashed), bits).alias("cell")).agg(F.sum(taken).alias("bytes"))
         found = materialize(_directory(cells, bits, first, limit), "directory")
         over = found.where((F.col("depth") == bits) & (F.col("bytes") > limit)) if bits < HASH_BITS else found.limit(0)
         deeper = not over.isEmpty()
-        levels.append((bits, found, over.select(F.col("prefix").alias("_p"))))
+        levels.append((bits, found, over.select(F.col("prefix").alias(deep))))
         if not deeper:
             break
-        todo = todo.join(levels[-1][2], _prefix(F.col("_h"), bits) == F.col("_p"), "left_semi")
+        todo = todo.join(levels[-1][2], _prefix(F.col(hashed), bits) == F.col(deep), "left_semi")
         first, bits = bits + 1, min(HASH_BITS, bits + 8)
 
     # The directory proper: every prefix of a level's depth points to its leaf, and one equi-join routes the rows.
     parts, rest = [], rows
     for depth, found, over in levels:
         spread = F.pow(F.lit(2.0), F.lit(depth) - F.col("depth")).cast("long")
-        cell = F.explode(F.sequence(F.col("prefix") * spread, (F.col("prefix") + 1) * spread - 1)).alias("_c")
-        leaves = found.select(cell, F.col("depth").alias("shard_depth"), F.col("prefix").alias("shard_prefix"), F.col("bytes").alias("shard_bytes"))
+        cells = F.explode(F.sequence(F.col("prefix") * spread, (F.col("prefix") + 1) * spread - 1)).alias(cell)
+        leaves = found.select(cells, F.col("depth").alias("shard_depth"), F.col("prefix").alias("shard_prefix"), F.col("bytes").alias("shard_bytes"))
         last = depth == levels[-1][0]
-        here = leaves if last else leaves.join(over, leaves["_c"] == over["_p"], "left_anti")
-        parts.append(rest.join(here, _prefix(rest["_h"], depth) == here["_c"]).drop("_c"))
+        here = leaves if last else leaves.join(over, leaves[cell] == over[deep], "left_anti")
+        parts.append(rest.join(here, _prefix(rest[hashed], depth) == here[cell]).drop(cell))
         if not last:
-            rest = rest.join(over, _prefix(rest["_h"], depth) == over["_p"], "left_semi")
+            rest = rest.join(over, _prefix(rest[hashed], depth) == over[deep], "left_semi")
     routed = parts[0]
     for p in parts[1:]:
         routed = routed.unionByName(p)
     routed = routed.withColumn("shard_depth", F.col("shard_depth").cast("int"))
     crowded = (F.col("shard_depth") == HASH_BITS) & (F.col("shard_bytes") > limit)
     if levels[-1][0] == HASH_BITS and not levels[-1][1].where((F.col("depth") == HASH_BITS) & (F.col("bytes") > limit)).isEmpty():
-        tied = _chunked(routed.where(crowded).withColumn("_o", F.xxhash64(*own)), limit).drop("_o")
-        out = routed.where(~crowded).withColumn("shard_chunk", F.lit(0)).unionByName(tied)
+        out = routed.where(~crowded).withColumn("shard_chunk", F.lit(0)).unionByName(_chunked(routed.where(crowded), limit, own))
     else:
         out = routed.withColumn("shard_chunk", F.lit(0))
-    return out.select(*own, "shard_depth", "shard_prefix", "shard_chunk", "shard_bytes")
+    return out.select(*[F.col(f"`{c}`") for c in columns], "shard_depth", "shard_prefix", "shard_chunk", "shard_bytes")
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curatrix.llm import kernels as K
 from curatrix.llm import labelled, workers
 from curatrix.session import ship_package
 
@@ -125,7 +126,7 @@ def _apply(shared) -> Callable:
         weight, bias = shared.value
         model = Model(weight, bias)
         for batch in batches:
-            parts = [score(model, batch.column(1).slice(at, 256).to_pylist()) for at in range(0, batch.num_rows, 256)]
+            parts = [score(model, texts) for _, texts in K.pieces(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0))], ["doc_id", "score"])
 
     return run
@@ -135,7 +136,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, rows: int = 4000, text
     """``doc_id, score`` for each row of ``docs``, learned from ``labels(doc_id, toxic)``.
 
     All rows of ``labels`` may be learned from; the fit takes ``rows`` texts of
-    at most ``text_bytes`` bytes.  Without labels every score is 0.5.
+    at most ``text_bytes`` bytes.  Without labels every score is 0.5, with labels
+    of one class all are that class's smoothed share.  Null texts are scored as
+    empty ones; equal texts have equal scores, whatever their rows; repeated rows,
+    and rows without an id, get a score each; an empty table gives no rows.  Other
+    columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     ship_package(spark)

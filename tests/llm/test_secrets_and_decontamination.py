@@ -48,6 +48,100 @@ def test_constants_flow_into_sensitive_names():
     assert secrets.spans_of(None) == ([], [])
 
 
+def test_constants_are_found_below_their_use():
+    for text in ('client_secret = salt + rest\nsalt = "q9Zk3LmX7"\nrest = "Vt4bNw8Y"\n', 'client_secret = both\nboth = salt + rest\nrest = "Vt4bNw8Y"\nsalt = "q9Zk3LmX7"\n', 'both = salt + rest\nclient_secret = both\nsalt = "q9Zk3LmX7"\nrest = "Vt4bNw8Y"\n'):
+        assert {text[a:b]: k for a, b, k in secrets.spans_of(text)[1]} == {"q9Zk3LmX7": "flow", "Vt4bNw8Y": "flow"}
+    # Constants that name each other, or themselves, end somewhere.
+    text = 'a1 = b1\nb1 = a1 + "q9Zk3LmX7Vt4"\nclient_secret = a1\n'
+    assert {text[a:b] for a, b, _ in secrets.spans_of(text)[1]} == {"q9Zk3LmX7Vt4"}
+    chain = "client_secret = k0\n" + "".join(f"k{i} = k{i + 1}\n" for i in range(20_000)) + 'k20000 = "q9Zk3LmX7Vt4"\n'
+    assert [chain[a:b] for a, b, _ in secrets.lexed_spans(chain)] == ["q9Zk3LmX7Vt4"]
+
+
+def test_added_spans_of_random_programs():
+    """Programs of literals, names and sums, valued by plain substitution."""
+    rng = random.Random(11)
+    names = ["alpha", "beta", "gamma", "delta", "client_secret", "session_token", "encryption_key", "colour"]
+    for _ in range(1500):
+        text, pairs = "", []
+        for _ in range(rng.randint(1, 7)):
+            name, terms = rng.choice(names), []
+            text += f"{name} = "
+            for k in range(rng.randint(1, 3)):
+                text += " + " * (k > 0)
+                if rng.random() < 0.5:
+                    word = rng.choice(names[:4])
+                    terms.append(("name", word, (len(text), len(text) + len(word))))
+                    text += word
+                else:
+                    word = "".join(rng.choices("abcXYZ0123456789", k=rng.randint(1, 14)))
+                    terms.append(("text", word, (len(text) + 1, len(text) + 1 + len(word))))
+                    text += f'"{word}"'
+            text += "\n"
+            pairs.append((name, terms))
+
+        def value(at, seen=()):
+            """String and spans of a pair's value; constants above it, else below it."""
+            out, spans, flows = "", [], False
+            for kind, word, span in pairs[at][1]:
+                above = [k for k in range(at) if pairs[k][0] == word]
+                below = [k for k in range(at + 1, len(pairs)) if pairs[k][0] == word]
+                if kind == "name" and (above or below and pairs[at][0] != word):  # the first one of a name is not looked for below itself
+                    k = above[-1] if above else below[0]
+                    flows = True
+                    if k not in seen:
+                        o, s, _ = value(k, (*seen, at))
+                        out, spans = out + o, spans + s
+                else:
+                    out, spans = out + word, [*spans, span]
+            return out, spans, flows
+
+        want = set()
+        for k, (name, _) in enumerate(pairs):
+            out, spans, _ = value(k)
+            if secrets.name_weight(name) * secrets.randomness(out) >= secrets.THRESHOLD:
+                want |= set(spans)
+        got = {(a, b) for a, b, _ in secrets.lexed_spans(text)}
+        assert got == want or _cyclic(pairs), (text, got, want)  # substitution does not say what values that reach each other are
+
+
+def _cyclic(pairs):
+    """Whether some pair's value reaches itself."""
+    to = {}
+    for at, (_, terms) in enumerate(pairs):
+        for kind, word, _ in terms:
+            above = [k for k in range(at) if pairs[k][0] == word]
+            below = [k for k in range(at + 1, len(pairs)) if pairs[k][0] == word]
+            if kind == "name" and (above or below and pairs[at][0] != word):
+                to.setdefault(at, set()).add(above[-1] if above else below[0])
+    for start in range(len(pairs)):
+        seen, todo = set(), [start]
+        while todo:
+            for k in to.get(todo.pop(), ()):
+                if k == start:
+                    return True
+                if k not in seen:
+                    seen.add(k)
+                    todo.append(k)
+    return False
+
+
+def test_scans_of_long_repeated_and_clashing_rows(spark):
+    long = "password = hunter22 " + "some words, key: value " * 50_000
+    rows = [(1, long), (1, long), (2, None), (None, "api_key=abcdef"), (3, "")]
+    docs = spark.createDataFrame([(*r, "x", 7) for r in rows], "doc_id long, text string, spans string, n_hex int").coalesce(1)
+    got = secrets.scan_secrets(docs).collect()
+    assert len(got) == 5 and len({r.spans for r in got if r.doc_id == 1}) == 1
+    for r in got:
+        base = ",".join(f"{k}:{a}:{b}" for k, a, b in brute_spans(dict(rows)[r.doc_id]))
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+    clean = secrets.redact_secrets(docs).collect()
+    assert sorted(map(len, (r.text or "" for r in clean))) == sorted(map(len, ("[SECRET] " + long[20:], "[SECRET] " + long[20:], "", "[SECRET]", "")))
+    bench = spark.createDataFrame([(1, "some words key value some words key value some words")], "item_id long, text string")
+    hit = decontam.find_contamination(docs, bench).collect()
+    assert sorted(r.n_hit for r in hit) == [0, 0, 0, *[brute_hits(long, [(1, bench.first().text)], 10)[1]] * 2]
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "password = hunter22 and on", 26), (2, None, None), (3, "", 0), (4, "plain text", 10)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r for r in secrets.redact_secrets(docs).collect()}

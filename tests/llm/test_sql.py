@@ -98,6 +98,19 @@ def test_shards_of_nulls_and_nothing(spark):
     assert sharding.shard(df.limit(0)).count() == 0
 
 
+def test_shards_with_clashing_names(spark):
+    names = ["_h", "_b", "_c", "_p", "_s", "_o", "cell", "bytes", "depth", "prefix", "_shard_x", "shard_bytes"]
+    rows = [(k % 5, 10 + k % 3, *[k] * len(names)) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, b long, " + ", ".join(f"`{n}` long" for n in names)).repartition(3)
+    got = sharding.shard(df, size=df.b, limit=200)
+    assert got.columns == ["doc_id", "b", *names[:-1], "shard_depth", "shard_prefix", "shard_chunk", "shard_bytes"]
+    sums = {}
+    for r in got.collect():
+        sums.setdefault((r.shard_depth, r.shard_prefix, r.shard_chunk), []).append(r)
+    assert sorted(r._h for x in sums.values() for r in x) == list(range(600))
+    assert all(sum(r.b for r in x) == x[0].shard_bytes <= 200 for x in sums.values())
+
+
 def test_each_notice_has_its_own_label(spark):
     grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
     bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
