@@ -19,6 +19,7 @@ shuffled join.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# Positive classes and possessive repetition: the negated class takes five times as long.
+LETTERS = r"0-9A-Za-z\x{80}-\x{10FFFF}"
+WORD = f"[{LETTERS}]++"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Base phrases and their labels.
@@ -68,13 +71,18 @@ def template_rows(templates: list[tuple[str, str]], threshold: float) -> list[tu
     """Number, label, tokens and needed overlap of each template; empty ones are refused."""
     rows = []
     for k, (label, text) in enumerate(templates):
-        tokens = sorted({w for w in text.lower().split() if w})
+        tokens = sorted({w.lower() for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text)})
         if not tokens:
             raise ValueError(f"template {label!r} has no words")
         rows.append((k, label, tokens, max(1, math.ceil(threshold * len(tokens) - 1e-9))))
     return rows
 
 
+def _any_word(words: list[str]) -> str:
+    """Pattern of a word of ``words``, in either case for A to Z; words are letters and digits, so they need no escapes."""
+    return rf"(?i)(?<![{LETTERS}])(?:{'|'.join(words)})(?![{LETTERS}])"
+
+
 def document_frequency(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """In how many texts each word of ``vocabulary`` (the templates' words) occurs."""
     words = F.array(*[F.lit(w) for w in vocabulary])
@@ -103,7 +111,7 @@ def block_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     heads = sorted({e[0] for e in entries})
     shortest = min(r[3] for r in rows)
     # The prefix filter as a scan over the raw text comes first: most lines have no head token at all.
-    head_pattern = r"(?i)(?<![0-9A-Za-z\x{80}-\x{10FFFF}])(?:" + "|".join(heads) + r")(?![0-9A-Za-z\x{80}-\x{10FFFF}])"
+    head_pattern = _any_word(heads)
     lines = docs.where(F.col("text").rlike(head_pattern)).select(*keep, F.posexplode(F.split("text", "\n")).alias("block", "_line")).where(F.col("_line").rlike(head_pattern))
     sets = lines.select(*keep, "block", _tokens(F.col("_line")).alias("_words")).where(F.size("_words") >= shortest)
     probes = sets.select(*keep, "block", "_words", F.explode(F.array_intersect("_words", F.array(*[F.lit(w) for w in heads]))).alias("token"))
@@ -134,7 +142,7 @@ def notice_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     freq = document_frequency(docs, sorted({w for e in entries for w in e[2]}))
     # A block that matches has one of these words of the template: all but need - 1, the rarest.
     heads = {e[0]: sorted(e[2], key=lambda w: (freq.get(w, 0), w))[: len(e[2]) - e[4] + 1] for e in entries}
-    pattern = r"(?i)(?<![0-9A-Za-z\x{80}-\x{10FFFF}])(?:" + "|".join(sorted({w for h in heads.values() for w in h})) + r")(?![0-9A-Za-z\x{80}-\x{10FFFF}])"
+    pattern = _any_word(sorted({w for h in heads.values() for w in h}))
     one = docs.where(F.col("text").rlike(pattern))
     lines = one.select(*keep, F.lit(False).alias("_wrapped"), F.posexplode(F.split("text", "\n")).alias("block", "_text"))
     paragraphs = one.where(F.col("text").contains("\n")).select(*keep, F.lit(True).alias("_wrapped"), F.posexplode(F.split("text", r"\n(?:[ \t\r\x0B\f]*\n)+")).alias("block", "_text"))
@@ -183,7 +191,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     row_key = F.xxhash64("text")
     found = matches(rows.withColumn("_k", row_key), templates, threshold, ("doc_id", "_k")).groupBy("doc_id", "_k").agg(F.collect_set("label").alias("_labels"), F.max("score").alias("_score"))
-    with_base = F.lower("text").contains("license")
+    with_base = F.col("text").rlike("(?i)license")
     norm = F.when(with_base, F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(F.col("text")), GAP, " ")), F.lit(" ")))
     ahead = " (?=" + "|".join(f"{p} " for p in PHRASES) + ")"
     words_in = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
