@@ -6,6 +6,8 @@ that ties are ties on every engine and are broken by id.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,15 +70,24 @@ def distance(a: Column, b: Column, metric: str = "cosine") -> Column:
     return F.round(d, PLACES)
 
 
+def mean_of(column: Column) -> Column:
+    """Aggregate: the mean of the vectors of a group, combined map-side as one vector; null ones are left out."""
+    return vector_to_array(Summarizer.mean(array_to_vector(column)))
+
+
 def mean_vector(df: DataFrame, column: str = "embedding") -> list[float] | None:
-    """Mean over rows, as long as one vector: the aggregate combines map-side, the driver gets one number a dimension."""
-    parts = df.select(F.posexplode(column).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()
-    return [r.m for r in parts] or None
+    """Mean over rows, as long as one vector; the driver gets one row."""
+    rows = df.where(F.col(column).isNotNull()).select(F.col(column).alias("_v"))
+    got = rows.agg(F.when(F.count("*") > 0, F.lit(True)).alias("any"), mean_of(F.col("_v")).alias("m")) if not rows.isEmpty() else None
+    return list(got.first().m) if got is not None else None
 
 
 def softmax(logits: Column) -> Column:
-    e = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(e, lambda x: x / _total(e))
+    """Exponentials over their sum; the largest logit and the sum are taken once a row."""
+    top = F.transform(F.array(logits), lambda l: F.struct(l.alias("l"), F.array_max(l).alias("m")))
+    e = F.transform(top, lambda t: F.transform(t["l"], lambda x: F.exp(x - t["m"])))
+    sums = F.transform(e, lambda v: F.struct(v.alias("v"), _total(v).alias("s")))
+    return F.get(F.transform(sums, lambda t: F.transform(t["v"], lambda x: x / t["s"])), 0)
 
 
 def entropy(p: Column) -> Column:

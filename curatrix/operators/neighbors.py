@@ -1,9 +1,10 @@
 """Similarity queries: ordering by distance, nearest neighbours and radius neighbours.
 
 Queries of a few vectors are literals in one JVM expression over the index.
-All-pairs operators are exact: rows are hashed into blocks of ``BLOCK`` rows,
-every pair of blocks is one task-sized matrix product, and only the k best (or
-the pairs within the radius) leave it.
+All-pairs operators are exact: rows are hashed into tiles, every pair of tiles is
+a task that multiplies blocks of ``BLOCK`` rows, and only the k best (or the pairs
+within the radius) leave it.  ``radius_neighbors`` can prune pairs of k-means cells
+by the triangle inequality instead, which stays exact.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -22,9 +24,11 @@ from pyspark.sql import Window as W
 from curatrix.functions import vectors as V
 from curatrix.operators.index import SimilarityIndex
 from curatrix.plans.profiles import PROFILES
-from curatrix.session import ship_package
+from curatrix.session import materialize, ship_package
 
 BLOCK = 2048
+#: Rows of a task's side at most: 8 MB of 64-dimensional vectors.
+TILE = 16_384
 AGGREGATIONS = ("mean", "post-mean", "post-min", "post-max")
 
 
@@ -55,19 +59,42 @@ def _matrix(table: pa.Table) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
+def _ids(table: pa.Table) -> np.ndarray:
+    """Ids that NumPy can order: text by code points, as Spark does."""
+    ids = table.column("id").to_numpy()
+    return ids.astype(str) if ids.dtype == object else ids
+
+
+def tile_rows(rows: int, parallel: int) -> int:
+    """Rows of a tile's side: larger tiles copy vectors to fewer tasks, smaller ones keep all cores busy."""
+    return int(min(TILE, max(BLOCK, rows / max(1.0, (2 * parallel) ** 0.5))))
+
+
 def _block_pairs(index: SimilarityIndex, kernel: Callable, schema: T.StructType, half: bool, queries: DataFrame | None = None) -> DataFrame:
-    """Apply ``kernel(queries, points, same_block)`` to all pairs of blocks; with ``half`` to one of each mirrored pair."""
+    """Apply ``kernel(queries, points, same_block)`` to all pairs of blocks; with ``half`` to one of each mirrored pair.
+
+    Rows are hashed into tiles; a task gets a pair of tiles and goes through
+    their blocks of ``BLOCK`` rows, so its memory is two tiles and one product of
+    two blocks, and a vector is copied once for each tile it meets.
+    """
     ship_package(index.base.sparkSession)
+    index.dimensions  # noqa: B018  raises for unlike lengths
     points = index.centred().select("id", "pos", "embedding")
     asked = points if queries is None else queries.select("id", "pos", "embedding")
-    n = max(1, -(-points.count() // BLOCK))
-    m = n if queries is None else max(1, -(-asked.count() // BLOCK))
+    parallel = index.base.sparkSession.sparkContext.defaultParallelism
+    size = points.count()
+    n = max(1, -(-size // tile_rows(size, parallel)))
+    if queries is None:
+        m = n
+    else:
+        size = asked.count()
+        m = max(1, -(-size // tile_rows(size, parallel)))
 
-    def block(k: int) -> Column:
+    def tile(k: int) -> Column:
         return F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
 
-    q = asked.withColumn("_q", block(m)).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_side", F.lit(0))
-    p = points.withColumn("_p", block(n)).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumn("_side", F.lit(1))
+    q = asked.withColumn("_q", tile(m)).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_side", F.lit(0))
+    p = points.withColumn("_p", tile(n)).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumn("_side", F.lit(1))
     both = q.unionByName(p)
     if half:
         both = both.where("_q <= _p")
@@ -76,11 +103,16 @@ def _block_pairs(index: SimilarityIndex, kernel: Callable, schema: T.StructType,
         side = table.column("_side").to_numpy()
         a, b = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
         same = table.column("_q")[0].as_py() == table.column("_p")[0].as_py()
-        return kernel(a, b, same)
+        parts = [kernel(x, y, same) for x in _cut(a) for y in _cut(b)]
+        return pa.concat_tables([kernel(a.slice(0, 0), b.slice(0, 0), same), *parts])
 
     return both.groupBy("_q", "_p").applyInArrow(run, schema)
 
 
+def _cut(table: pa.Table) -> list[pa.Table]:
+    return [table.slice(at, BLOCK) for at in range(0, table.num_rows, BLOCK)]
+
+
 def _nearest(k: int, metric: str) -> Callable:
     """Kernel of the ``k`` nearest points of each query of a block: ``query_id, id, dist``."""
 
@@ -89,7 +121,7 @@ def _nearest(k: int, metric: str) -> Callable:
         if not a.num_rows or not b.num_rows:
             return pa.Table.from_arrays([a.column("id").slice(0, 0), b.column("id").slice(0, 0), pa.array([], pa.float64())], names)
         d = pairwise(_matrix(a), _matrix(b), metric)
-        ai, bi = a.column("id").to_numpy(), b.column("id").to_numpy()
+        ai, bi = _ids(a), _ids(b)
         d[ai[:, None] == bi[None, :]] = np.inf
         top = min(k, len(bi))
         row, col = np.nonzero((d <= np.partition(d, top - 1, axis=1)[:, top - 1 : top]) & np.isfinite(d))
@@ -140,6 +172,7 @@ def kneighbors_cells(index: SimilarityIndex, k: int, queries: DataFrame | None =
         raise ValueError("k, cells and probes must be at least 1")
     spark = index.base.sparkSession
     ship_package(spark)
+    index.dimensions  # noqa: B018
     points = index.centred().select("id", "pos", "embedding")
     asked = points if queries is None else queries.select("id", "pos", "embedding")
     schema = _pair_schema(index.base.schema["id"].dataType)
@@ -181,25 +214,108 @@ def kneighbors_cells(index: SimilarityIndex, k: int, queries: DataFrame | None =
     return _best(q.select(*columns).unionByName(p.select(*columns)).groupBy("_c", "_q", "_p").applyInArrow(run, schema), k)
 
 
-def radius_neighbors(index: SimilarityIndex, thresh: float) -> DataFrame:
-    """All pairs within ``thresh`` (inclusive): ``id_a, id_b, dist``, the row that comes first in the index as a."""
-    kind, metric = index.base.schema["id"].dataType, index.metric
-    schema = T.StructType([T.StructField("id_a", kind), T.StructField("id_b", kind), T.StructField("dist", T.DoubleType())])
+def _within(thresh: float, metric: str) -> Callable:
+    """Kernel of all pairs within ``thresh``: ``id_a, id_b, dist``, the row that comes first in the index as a."""
 
     def kernel(a: pa.Table, b: pa.Table, same: bool) -> pa.Table:
         names = ["id_a", "id_b", "dist"]
         if not a.num_rows or not b.num_rows:
             return pa.Table.from_arrays([a.column("id").slice(0, 0), b.column("id").slice(0, 0), pa.array([], pa.float64())], names)
         d = pairwise(_matrix(a), _matrix(b), metric)
-        ai, bi, ap, bp = (t.column(c).to_numpy() for t, c in ((a, "id"), (b, "id"), (a, "pos"), (b, "pos")))
+        (ai, bi), (ap, bp) = (_ids(a), _ids(b)), (t.column("pos").to_numpy() for t in (a, b))
         row, col = np.nonzero(d <= thresh)
         before = (ap[row] < bp[col]) | ((ap[row] == bp[col]) & (ai[row] < bi[col]))
+        # A tile with itself meets every pair twice.
         keep = before if same else ai[row] != bi[col]
         row, col, before = row[keep], col[keep], before[keep]
-        x, y = np.where(before, ai[row], bi[col]), np.where(before, bi[col], ai[row])
-        return pa.Table.from_arrays([pa.array(x, a.schema.field("id").type), pa.array(y, a.schema.field("id").type), pa.array(d[row, col])], names)
+        x, y = a.column("id").take(pa.array(row)), b.column("id").take(pa.array(col))
+        turn = pa.chunked_array([pa.array(before)])
+        return pa.Table.from_arrays([pc.if_else(turn, x, y), pc.if_else(turn, y, x), pa.array(d[row, col])], names)
+
+    return kernel
+
+
+def radius_neighbors(index: SimilarityIndex, thresh: float, *, cells: int = 0, fit_rows: int = 50_000, seed: int = 1234) -> DataFrame:
+    """All pairs within ``thresh`` (inclusive): ``id_a, id_b, dist``, the row that comes first in the index as a.
+
+    With ``cells``, rows are assigned to so many k-means centres, and only those
+    pairs of cells are compared whose centres and radii leave room for a pair
+    within ``thresh``: exact for Euclidean and cosine distances (of which the
+    latter is the former between unit vectors), and far less work where vectors
+    have clusters.  Cells are cut into tiles like everything else.
+    """
+    schema = T.StructType([T.StructField("id_a", k := index.base.schema["id"].dataType), T.StructField("id_b", k), T.StructField("dist", T.DoubleType())])
+    kernel = _within(thresh, index.metric)
+    if not cells:
+        return _block_pairs(index, kernel, schema, True)
+    if index.metric not in ("cosine", "euclidean"):
+        raise ValueError(f"cells can't prune {index.metric} distances")
+    return _cell_pairs(index, kernel, schema, V.euclidean_threshold(max(thresh, 0.0)) if index.metric == "cosine" else thresh, cells, fit_rows, seed)
+
+
+def _cell_pairs(index: SimilarityIndex, kernel: Callable, schema: T.StructType, reach: float, cells: int, fit_rows: int, seed: int) -> DataFrame:
+    """Apply ``kernel`` to the pairs of cells that may hold rows within Euclidean distance ``reach``."""
+    spark = index.base.sparkSession
+    ship_package(spark)
+    index.dimensions  # noqa: B018
+    cosine = index.metric == "cosine"
+    points = index.centred().select("id", "pos", "embedding")
+    if cosine:  # vectors without a direction are near nothing
+        points = points.where(V.norm(F.col("embedding")) > 0)
+    spot = V.unit(F.col("embedding")) if cosine else F.col("embedding")
+    sample = points.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select(array_to_vector(spot).alias("features"))
+    n = sample.count()
+    if not n:
+        return spark.createDataFrame([], schema)
+    centres = np.array(KMeans(k=min(cells, n), seed=seed).fit(sample).clusterCenters())
+    shared = spark.sparkContext.broadcast(centres)  # at most ``cells`` vectors
 
-    return _block_pairs(index, kernel, schema, True)
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        for batch in batches:
+            x = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+            if cosine:
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            d = np.maximum((x**2).sum(1)[:, None] + (c**2).sum(1) - 2 * x @ c.T, 0)
+            own = d.argmin(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(np.sqrt(d[np.arange(len(own)), own]))], ["id", "pos", "embedding", "_c", "_r"])
+
+    placed = materialize(points.mapInArrow(place, T.StructType([*points.schema.fields, T.StructField("_c", T.IntegerType()), T.StructField("_r", T.DoubleType())])), "cells")
+    stats = {r[0]: (r[1], r[2]) for r in placed.groupBy("_c").agg(F.max("_r"), F.count("*")).collect()}  # a row a cell
+    slack = 1e-6 + reach * 1e-6  # distances are rounded
+    pairs = [(i, j) for i in stats for j in stats if i <= j and np.linalg.norm(centres[i] - centres[j]) - stats[i][0] - stats[j][0] <= reach + slack]
+    tiles = {i: max(1, -(-stats[i][1] // TILE)) for i in stats}
+    # At most ``cells`` squared rows: for each cell, the pairs that it takes part in and on which side.
+    meets = spark.createDataFrame([(c, i, j, side, tiles[i], tiles[j]) for i, j in pairs for c, side in ((i, 0), (j, 1))], "_c int, _i int, _j int, _side int, _m int, _n int")
+    dealt = placed.join(F.broadcast(meets), "_c")
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("_side") == 0, F.col("_m")).otherwise(F.col("_n"))).cast("int")
+    other = F.sequence(F.lit(0), F.when(F.col("_side") == 0, F.col("_n")).otherwise(F.col("_m")) - 1)
+    dealt = dealt.withColumn("_own", own).withColumn("_other", F.explode(other))
+    dealt = dealt.withColumn("_q", F.when(F.col("_side") == 0, F.col("_own")).otherwise(F.col("_other"))).withColumn("_p", F.when(F.col("_side") == 0, F.col("_other")).otherwise(F.col("_own")))
+    dealt = dealt.where("_i <> _j or _q <= _p").select("_i", "_j", "_q", "_p", "_side", "id", "pos", "embedding")
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("_side").to_numpy()
+        a, b = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
+        first = table.slice(0, 1).to_pylist()[0]
+        same = first["_i"] == first["_j"] and first["_q"] == first["_p"]
+        return pa.concat_tables([kernel(a.slice(0, 0), b.slice(0, 0), same), *(kernel(x, y, same) for x in _cut(a) for y in _cut(b))])
+
+    return dealt.groupBy("_i", "_j", "_q", "_p").applyInArrow(run, schema)
+
+
+def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """``df`` with the place of each row in ``order``, from 1, without a single-task sort.
+
+    Rows are range-partitioned and sorted, numbered within their task, written,
+    and moved by the number of rows of the tasks before (a row a task).
+    """
+    task, at = F.spark_partition_id().alias("_task"), F.monotonically_increasing_id().alias("_at")
+    placed = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", task, at), "ranked")
+    counts = placed.groupBy("_task").agg(F.count("*").alias("_n"))
+    before = counts.select("_task", F.coalesce(F.sum("_n").over(W.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int")
+    return placed.join(F.broadcast(before), "_task").withColumn(name, place).drop("_task", "_at", "_before")
 
 
 def sort_by_similarity(
@@ -210,13 +326,22 @@ def sort_by_similarity(
     ``query`` is a list of ids (inside the view or not), ``vectors`` one of raw
     vectors.  One id is compared in centred space and is at distance 0 from
     itself.  ``mean`` of several ids, and raw vectors, use vectors as they are.
-    ``post-*`` aggregates centred distances to every id, its own left out.
+    ``post-*`` aggregates centred distances to every id, its own left out.  Ties
+    go to the smaller id; rows without a distance come last.
+
+    ``profile`` names a store: its metrics, limit and order are checked, and if
+    it filters after the search (``view_filter="post"``) the view gets those of
+    the whole index's first k rows that it holds, which may be fewer.
     """
     if aggregation not in AGGREGATIONS:
         raise ValueError(f"unknown aggregation {aggregation!r}")
     if bool(query) == bool(vectors):
         raise ValueError("give ids or vectors")
-    metric, k = PROFILES[profile].check(index.metric, k, reverse, 0)
+    store = PROFILES[profile]
+    metric, k = store.check(index.metric, k, reverse, index.size)
+    view = index.view if store.view_filter == "post" and k else None
+    if view is not None:
+        index = index.clear()
     e = F.col("embedding")
     if vectors:
         rows, asked = index.rows, [V.literal(list(np.mean(np.asarray(vectors, float), axis=0)))] if aggregation == "mean" else [V.literal(v) for v in vectors]
@@ -240,8 +365,12 @@ def sort_by_similarity(
         d = F.round(d, V.PLACES)
     scored = rows.select("id", d.alias("dist"))
     order = [F.col("dist").desc_nulls_last() if reverse else F.col("dist").asc_nulls_last(), F.col("id")]
-    top = scored.orderBy(*order).limit(k) if k else scored
-    return top.withColumn("rank", F.row_number().over(W.orderBy(*order))).select("id", "rank", "dist") if k else top.orderBy(*order)
+    if k is None:
+        return ranked(scored, order).select("id", "rank", "dist").orderBy("rank")
+    top = scored.orderBy(*order).limit(k)
+    if view is not None:
+        top = top.join(view.select("id"), "id", "left_semi")
+    return top.withColumn("rank", F.row_number().over(W.orderBy(*order))).select("id", "rank", "dist")  # k rows
 
 
 def nearest_histogram(index: SimilarityIndex, bins: int = 100) -> DataFrame:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.functions import vectors as V
 from curatrix.functions.boxes import iou
 from curatrix.operators import scores
+from curatrix.session import ship_package
 
+log = logging.getLogger(__name__)
 #: What to do with samples whose label list is empty or null.
 MISSING = ("skip", "image", "error")
 
@@ -40,17 +45,79 @@ def filter_labels(samples: DataFrame, labels: str, keep: Callable) -> DataFrame:
     return samples.withColumn(labels, F.filter(labels, keep)).where(F.size(labels) > 0)
 
 
-def label_owners(samples: DataFrame, labels: str, wanted: DataFrame, *, sample_id: str = "sample_id") -> DataFrame:
-    """``label_id, sample_id`` of the label ids in ``wanted(label_id)``; unknown ones are left out."""
+def label_owners(samples: DataFrame, labels: str, wanted: DataFrame, *, sample_id: str = "sample_id", allow_missing: bool = True, warn_missing: bool = False) -> DataFrame:
+    """``label_id, sample_id`` of the label ids in ``wanted(label_id)``; unknown ones are left out, raise, or are warned of."""
     flat = samples.select(sample_id, F.explode(F.transform(labels, lambda x: x["id"])).alias("label_id"))
-    return flat.join(wanted.select("label_id").distinct(), "label_id", "left_semi")
+    ids = wanted.select("label_id").distinct()
+    if not allow_missing or warn_missing:
+        lost = ids.join(flat.select("label_id"), "label_id", "left_anti").count()
+        if lost and not allow_missing:
+            raise ValueError(f"{lost} labels are not in {labels!r}")
+        if lost:
+            log.warning("%d labels are not in %r", lost, labels)
+    return flat.join(ids, "label_id", "left_semi")
 
 
-def pool(rows: DataFrame, *, sample_id: str = "sample_id", embedding: str = "embedding") -> DataFrame:
-    """``sample_id, embedding``: the mean vector of a sample's regions; null vectors are left out."""
-    flat = rows.where(F.col(embedding).isNotNull()).select(sample_id, F.posexplode(V.vector(embedding)).alias("i", "x"))
-    mean = flat.groupBy(sample_id, "i").agg(F.avg("x").alias("m"))
-    return mean.groupBy(sample_id).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c")).select(sample_id, F.transform("c", lambda s: s["m"]).alias("embedding"))
+def labels_of(reference: DataFrame, rows: DataFrame, *, sample_id: str = "sample_id") -> DataFrame:
+    """``rows(sample_id, ...)`` in the order of ``reference(sample_id, pos)``; samples without rows stay, with nulls."""
+    return reference.select(sample_id, "pos").join(rows, sample_id, "left").orderBy("pos")
+
+
+def write_label_field(samples: DataFrame, labels: str, values: DataFrame, field: str, *, sample_id: str = "sample_id") -> DataFrame:
+    """``samples`` with ``field`` of the labels in ``values(label_id, <field>)`` set; other labels keep theirs, or null.
+
+    Values are gathered for each sample (as many as it has labels) and looked up
+    by label id inside the list, so samples are joined once and not flattened.
+    """
+    kind = values.schema[field].dataType.simpleString()
+    owners = label_owners(samples, labels, values, sample_id=sample_id)
+    maps = owners.join(values.select("label_id", F.col(field).alias("_v")).dropDuplicates(["label_id"]), "label_id").groupBy(sample_id).agg(F.map_from_entries(F.collect_list(F.struct("label_id", "_v"))).alias("_m"))
+    item = samples.schema[labels].dataType.elementType
+    names = [n for n in item.names if n != field]
+
+    def put(x: Column) -> Column:
+        old = x[field] if field in item.names else F.lit(None).cast(kind)
+        new = F.when(F.coalesce(F.map_contains_key("_m", x["id"]), F.lit(False)), F.element_at("_m", x["id"])).otherwise(old)
+        return F.struct(*[x[n].alias(n) for n in names], new.alias(field))
+
+    return samples.join(maps, sample_id, "left").withColumn(labels, F.transform(labels, put)).drop("_m")
+
+
+def clear_label_field(samples: DataFrame, labels: str, ids: DataFrame, field: str, *, sample_id: str = "sample_id", by: str = "label_id") -> DataFrame:
+    """``samples`` with ``field`` null in the labels of ``ids(label_id)``, or in all of samples (``by="sample_id"``)."""
+    kind = samples.schema[labels].dataType.elementType[field].dataType.simpleString()
+    if by == "sample_id":
+        gone = samples.join(ids.select(sample_id).distinct(), sample_id, "left_semi").select(F.explode(F.transform(labels, lambda x: x["id"])).alias("label_id"))
+    else:
+        gone = ids.select("label_id").distinct()
+    return write_label_field(samples, labels, gone.withColumn(field, F.lit(None).cast(kind)), field, sample_id=sample_id)
+
+
+def samples_by_first_label(ranks: DataFrame, owners: DataFrame, *, sample_id: str = "sample_id") -> DataFrame:
+    """``sample_id, rank``: samples in the order of their first label in ``ranks(id, rank)``, each once.
+
+    ``owners`` is ``label_id, sample_id``.
+    """
+    own = owners.select(F.col("label_id").alias("id"), sample_id)
+    return ranks.select("id", "rank").join(own, "id").groupBy(sample_id).agg(F.min("rank").alias("rank")).orderBy("rank")
+
+
+def pool(rows: DataFrame, *, sample_id: str = "sample_id", embedding: str = "embedding", aggregate: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """``sample_id, embedding``: the mean vector of a sample's regions; null vectors are left out.
+
+    ``aggregate`` maps a sample's vectors, one a row, to one vector instead; it
+    gets all regions of a sample in one task.
+    """
+    kept = rows.where(F.col(embedding).isNotNull())
+    if aggregate is None:
+        return kept.groupBy(sample_id).agg(V.mean_of(V.vector(embedding)).alias("embedding"))
+    ship_package(rows.sparkSession)
+    kind = rows.schema[sample_id].dataType.simpleString()
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({sample_id: group[sample_id].iloc[:1], "embedding": [[float(x) for x in aggregate(np.array(group["embedding"].tolist()))]]})
+
+    return kept.select(sample_id, V.vector(embedding).alias("embedding")).groupBy(sample_id).applyInPandas(run, f"`{sample_id}` {kind}, embedding array<double>")
 
 
 def match_boxes(gt: DataFrame, pred: DataFrame, *, limit: float = 0.5) -> DataFrame:

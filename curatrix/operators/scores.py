@@ -49,8 +49,7 @@ def cluster_distances(index: SimilarityIndex, clusters: DataFrame | None = None,
         centres = index.base.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>")
     else:
         rows = index.rows.select("id", "embedding").join(clusters, "id")
-        means = rows.select("cluster", F.posexplode("embedding").alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("m"))
-        centres = means.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c")).select("cluster", F.transform("c", lambda s: s["m"]).alias("centre"))
+        centres = rows.groupBy("cluster").agg(V.mean_of(F.col("embedding")).alias("centre"))
     return rows.join(centres, "cluster").select("id", "cluster", V.distance(F.col("embedding"), F.col("centre"), "euclidean").alias("dist"))
 
 
@@ -106,6 +105,11 @@ def label_set(labels: Column) -> Column:
     return F.array_sort(F.array_distinct(labels))
 
 
+def centerness(dist: Column) -> Column:
+    """1 at a centre, falling with the distance to it."""
+    return 1 / (1 + dist)
+
+
 def location_mistakenness(iou: Column, c: Column, limit: float = 0.5) -> Column:
     """Chance that a box is misplaced: ``(c * (2i - 1) + 1) / 2`` with i = (1 - iou) / (1 - limit)."""
     return (c * (2 * (1 - iou) / (1 - limit) - 1) + 1) / 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 
@@ -17,8 +18,8 @@ class Profile:
     view_filter: str = "pre"  # pre or post
     write_batch: int = 1000
 
-    def check(self, metric: str | None, k: int | None, reverse: bool, size: int) -> tuple[str, int | None]:
-        """The metric and k to use; raises ``ValueError`` for what the store refuses."""
+    def check(self, metric: str | None, k: int | None, reverse: bool, size: Callable[[], int]) -> tuple[str, int | None]:
+        """The metric and k to use (None: all rows); raises ``ValueError`` for what the store refuses."""
         metric = metric or self.metrics[0]
         if metric not in self.metrics:
             raise ValueError(f"{self.name} supports {', '.join(self.metrics)}, not {metric}")
@@ -27,7 +28,7 @@ class Profile:
         if k is None:
             if self.k_none == "error":
                 raise ValueError(f"{self.name} needs k")
-            return metric, min(size, self.max_k) if self.k_none == "capped" and self.max_k else None
+            return metric, min(size(), self.max_k) if self.k_none == "capped" and self.max_k else None
         if self.max_k and k > self.max_k:
             raise ValueError(f"{self.name} returns {self.max_k} rows at most")
         return metric, k
