@@ -19,7 +19,7 @@ from curatrix.plans import settings
 from curatrix.plans.profiles import PROFILES, register
 from curatrix.plans.runs import Runs
 from curatrix.sources import embeddings as E
-from curatrix.streaming.maintain import maintain_index, tumbling_counts
+from curatrix.streaming.maintain import compact_index, current_index, maintain_index, tumbling_counts
 
 
 @pytest.fixture(scope="module")
@@ -182,10 +182,11 @@ def test_labels(spark):
     assert [(r.sample_id, [x.id for x in r.labels]) for r in back] == [(1, [10, 11])]
 
 
-def test_layouts_place_rows_beyond_the_sample(index, monkeypatch):
-    monkeypatch.setattr(Z, "LAYOUT_ROWS", 25)
+def test_layouts_place_rows_beyond_the_sample(index):
     for method, updates in (("umap", True), ("tsne", False)):
-        p = Z.visualize(index, method, max_iters=30)
+        whole = Z.visualize(index, method, max_iters=30, fit_rows=None)
+        assert whole.points.count() == 60 == whole.trained_on
+        p = Z.visualize(index, method, max_iters=30, fit_rows=25)
         assert p.points.count() == 60 and p.trained_on == 25 and p.supports_updates == updates
         assert p.points.where("size(point) <> 2").count() == 0
     with pytest.raises(ValueError):
@@ -257,7 +258,9 @@ def test_streams_equal_batches(spark, tmp_path):
         spark.createDataFrame([(k, [float(k)]), (0, [float(10 + k)])], "id long, embedding array<double>").coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema("id long, embedding array<double>").parquet(src)
         maintain_index(stream, f"{tmp_path}/index", f"{tmp_path}/ckpt").trigger(availableNow=True).start().awaitTermination()
-    got = {r.id: r.embedding[0] for r in spark.read.parquet(f"{tmp_path}/index/version=2").collect()}
+        if k == 1:
+            compact_index(spark, f"{tmp_path}/index", 2)
+    got = {r.id: r.embedding[0] for r in current_index(spark, f"{tmp_path}/index").rows.collect()}
     assert got == {0: 12.0, 1: 1.0, 2: 2.0}
 
 
