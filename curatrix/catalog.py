@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curatrix import analysis as A
 from curatrix.functions import boxes
 from curatrix.functions import ids as I
 from curatrix.functions import vectors as V
@@ -19,7 +20,7 @@ from curatrix.operators import neighbors as N
 from curatrix.operators import objects as O
 from curatrix.operators import scores as S
 from curatrix.operators import visualization as Z
-from curatrix.operators.index import SimilarityIndex, build_index, clear_field, select_ordered, write_field
+from curatrix.operators.index import SimilarityIndex, build_index, clear_field, ordered_distinct, select_ordered, write_field
 from curatrix.plans.profiles import PROFILES
 from curatrix.sources import embeddings as E
 from curatrix.streaming.maintain import tumbling_counts
@@ -191,7 +192,7 @@ def nn_distance_histogram(spark, d):
 def backend_profile_topk(spark, d):
     """A store profile's default metric decides the order."""
     profile = PROFILES["milvus"]
-    i = _index(spark, d, metric=profile.check(None, 20, False, 0)[0], center=False)
+    i = _index(spark, d, metric=profile.check(None, 20, False, lambda: 20)[0], center=False)
     asked = [list(r[0]) for r in i.rows.where("id = 5").select("embedding").collect()]
     return N.sort_by_similarity(i, vectors=asked, k=20, profile=profile.name)
 
@@ -216,9 +217,8 @@ def unique_view(spark, d):
 
 @register()
 def unique_subset(spark, d):
-    """100 of the first 200 rows, as far apart as a bisected threshold makes them; ``unique_half`` has all rows."""
-    i = _index(spark, d).restrict(_range(spark, 0, 200))
-    return D.find_unique(i, 100)[0]
+    """100 rows of the whole index, as far apart as a bisected threshold makes them."""
+    return D.find_unique(_index(spark, d), 100)[0]
 
 
 @register()
@@ -428,9 +428,10 @@ def embedding_scan(spark, d):
     return E.from_field(rows, "vec_id", "emb").select("id", _total())
 
 
-@register("SELECT vec_id AS id, 3::INTEGER AS n, (vec_id % 10 + 1)::DOUBLE AS total FROM embeddings")
+@register("SELECT vec_id AS id, len(embedding)::INTEGER AS n, round(list_sum(embedding::DOUBLE[]), 9) AS total FROM embeddings")
 def vector_text_parse(spark, d):
-    text = F.concat(F.lit("["), F.col("vec_id") % 10, F.lit(", 0.5,0.5]"))
+    """Vectors spelled as text and read again."""
+    text = F.concat(F.lit("["), F.array_join(F.transform(V.vector("embedding"), lambda x: x.cast("string")), ", "), F.lit("]"))
     rows = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), V.parse_vector(text).alias("embedding"))
     return rows.select("id", F.size("embedding").alias("n"), _total())
 
@@ -548,11 +549,14 @@ def copy_missing(spark, d):
     return O.with_missing(gt, pred, O.object_mistakenness(gt, pred)).groupBy("sample_id").agg(F.count("*").alias("n"))
 
 
-@register("SELECT l_orderkey, l_linenumber, round(0.3 - 0.2 * 0.25, 9)::DOUBLE AS x, round(0.2 * 1.5, 9)::DOUBLE AS w, 0.6::DOUBLE AS side FROM lineitem")
+_BOX = {"x": "l_linenumber / 10.0::DOUBLE", "y": "l_discount::DOUBLE", "w": "l_quantity::DOUBLE / 100", "h": "(l_tax::DOUBLE + 0.01)"}
+
+
+@register("WITH b AS (SELECT l_orderkey, l_linenumber, " + ", ".join(f"{e} AS {n}" for n, e in _BOX.items()) + " FROM lineitem) SELECT l_orderkey, l_linenumber, round(x - w * 0.25, 9) AS x, round(w * 1.5, 9) AS w, round(y + (h - greatest(w, h)) / 2, 9) AS square_y, round(greatest(w, h), 9) AS side FROM b")
 def box_shapes(spark, d):
-    box = F.array(F.lit(0.3), F.lit(0.1), F.lit(0.2), F.lit(0.6))
+    box = F.array(F.col("l_linenumber") / 10.0, F.col("l_discount").cast("double"), F.col("l_quantity").cast("double") / 100, F.col("l_tax").cast("double") + 0.01)
     wide, sq = boxes.expand(box, 0.5), boxes.square(box)
-    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.get(wide, 0), 9).alias("x"), F.round(F.get(wide, 2), 9).alias("w"), F.get(sq, 2).alias("side"))
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.get(wide, 0), 9).alias("x"), F.round(F.get(wide, 2), 9).alias("w"), F.round(F.get(sq, 1), 9).alias("square_y"), F.round(F.get(sq, 2), 9).alias("side"))
 
 
 # Projections -----------------------------------------------------------------------------
@@ -619,6 +623,190 @@ def point_types(spark, d):
     return types.groupBy("type").agg(F.count("*").alias("n"))
 
 
+# Ids as text, appended rows, stores' rules ----------------------------------------------
+
+_TEXT_DUPS = DUPS_.replace(E_, E_.replace("vec_id AS id", "vec_id::VARCHAR AS id")).replace("BIGINT[]", "VARCHAR[]")
+
+
+@register(f"WITH RECURSIVE {_TEXT_DUPS} SELECT * FROM dups")
+def near_duplicates_string_ids(spark, d):
+    """Text ids: rows stand in the order of their ids."""
+    return D.find_duplicates(build_index(_t(spark, d, "embeddings").withColumn("vec_id", F.col("vec_id").cast("string")), "vec_id", "embedding"), DUP)
+
+
+@register("SELECT vec_id AS id, vec_id AS pos FROM embeddings UNION ALL SELECT vec_id + 1000000, (SELECT max(vec_id) + 1 FROM embeddings) FROM embeddings WHERE vec_id < 50 AND vec_id % 2 = 1")
+def index_append_order(spark, d):
+    """New rows stand after all others."""
+    return _index(spark, d).add(_new(spark, d)).rows.select("id", "pos")
+
+
+_FROM_0 = ("CASE WHEN c.id = 0 THEN 0.0 ELSE round(list_cosine_distance(c.v, q.v), 9) END", ", (SELECT v FROM c WHERE id = 0) q")
+
+
+@register(_top(_FROM_0[0], k=10_000, where=_FROM_0[1]))
+def profile_capped_k(spark, d):
+    """A store that returns its largest number of rows when none is asked for."""
+    return N.sort_by_similarity(_index(spark, d), [0], profile="mongodb")
+
+
+@register(f"WITH top AS ({_top(_FROM_0[0], k=60, where=_FROM_0[1])}) SELECT id, row_number() OVER (ORDER BY dist, id)::INTEGER AS rank, dist FROM top WHERE id BETWEEN 100 AND 299")
+def profile_post_filter(spark, d):
+    """A store that filters by the view after the search."""
+    return N.sort_by_similarity(_index(spark, d).restrict(_range(spark, 100, 300)), [0], k=60, profile="mosaic")
+
+
+@register(_top(_FROM_0[0], k=1_000_000_000, where=_FROM_0[1]))
+def sim_all_ranked(spark, d):
+    """All rows with their ranks."""
+    return N.sort_by_similarity(_index(spark, d), [0])
+
+
+@register(f"WITH {EDGES_} SELECT a AS id_a, b AS id_b, d AS dist FROM g")
+def radius_edges_cells(spark, d):
+    """The same pairs by cells, of which pairs too far apart are skipped."""
+    return N.radius_neighbors(_index(spark, d), DUP, cells=16)
+
+
+@register(f"WITH RECURSIVE {DUPS_} SELECT nearest_id, count(*) AS n, min(dist) AS least, arg_min(id, (dist, id)) AS first_id FROM dups WHERE type = 'duplicate' GROUP BY nearest_id")
+def duplicate_groups(spark, d):
+    groups = D.duplicate_groups(D.find_duplicates(_index(spark, d), DUP))
+    return groups.select("nearest_id", "n", "least", F.get("duplicates", 0)["id"].alias("first_id"))
+
+
+@register("SELECT vec_id AS id, label * 2 AS value FROM embeddings WHERE vec_id % 3 = 0")
+def index_values(spark, d):
+    view = _t(spark, d, "embeddings").where("vec_id % 3 = 0").select(F.col("vec_id").alias("id"))
+    return _index(spark, d).use_view(view).values(_t(spark, d, "embeddings"), F.col("label") * 2, id_col="vec_id")
+
+
+@register("SELECT doc_id AS id, lang AS split, (dense_rank() OVER (ORDER BY lang) - 1)::INTEGER AS split_pos FROM documents WHERE lang IS NOT NULL")
+def splits_by_field(spark, d):
+    return D.splits_by(_t(spark, d, "documents"), "lang", id_col="doc_id")
+
+
+@register("SELECT vec_id AS id, 'three' AS split, 0::INTEGER AS split_pos FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id, 'two', 1 FROM embeddings WHERE vec_id % 2 = 0")
+def splits_by_tags(spark, d):
+    tags = F.array_compact(F.array(F.when(F.col("vec_id") % 2 == 0, "two"), F.when(F.col("vec_id") % 3 == 0, "three"), F.lit("all")))
+    return D.splits_by(_t(spark, d, "embeddings").withColumn("tags", tags), ["three", "two"], id_col="vec_id")
+
+
+@register(f"WITH {_CENTRES} SELECT id, round(1 / (1 + d), 9) AS centerness FROM d")
+def centerness(spark, d):
+    dist = S.cluster_distances(_index(spark, d), _clusters(spark, d))
+    return dist.select("id", F.round(S.centerness(F.col("dist")), 9).alias("centerness"))
+
+
+@register("SELECT l_suppkey AS id, min(l_orderkey * 10 + l_linenumber) AS pos FROM lineitem GROUP BY 1")
+def ids_in_first_order(spark, d):
+    return ordered_distinct(_t(spark, d, "lineitem").select(F.col("l_suppkey").alias("id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos")))
+
+
+# Label lists --------------------------------------------------------------------------------
+
+
+def _labelled(spark, d) -> DataFrame:
+    """Orders with their lines as labels, whose ids are unique."""
+    rows = _t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("label"), F.min("l_quantity").cast("double").alias("confidence"))
+    item = F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "label", "confidence")
+    return rows.groupBy(F.col("l_orderkey").alias("sample_id")).agg(F.array_sort(F.collect_list(item)).alias("labels"))
+
+
+_LABELLED = "l AS (SELECT l_orderkey AS sample_id, l_linenumber AS n, l_orderkey * 10 + l_linenumber AS id, min(l_returnflag) AS label, min(l_quantity)::DOUBLE AS confidence FROM lineitem GROUP BY 1, 2)"
+
+
+@register(f"WITH {_LABELLED} SELECT sample_id, id, CASE WHEN n % 2 = 0 THEN n::DOUBLE END AS score FROM l")
+def label_field_write(spark, d):
+    """A new field of labels, set for some of them."""
+    samples = _labelled(spark, d)
+    some = O.flatten_labels(samples, "labels").where("id % 2 = 0").select(F.col("id").alias("label_id"), (F.col("id") % 10).cast("double").alias("score"))
+    return O.flatten_labels(O.write_label_field(samples, "labels", some, "score"), "labels").select("sample_id", "id", "score")
+
+
+@register(f"WITH {_LABELLED} SELECT sample_id, id, CASE WHEN n <> 1 THEN confidence END AS confidence FROM l")
+def label_field_clear(spark, d):
+    samples = _labelled(spark, d)
+    first = O.flatten_labels(samples, "labels").where("id % 10 = 1").select(F.col("id").alias("label_id"))
+    return O.flatten_labels(O.clear_label_field(samples, "labels", first, "confidence"), "labels").select("sample_id", "id", "confidence")
+
+
+@register(f"WITH {_LABELLED} SELECT id AS label_id, sample_id FROM l WHERE n = 2")
+def label_owners(spark, d):
+    samples = _labelled(spark, d)
+    wanted = O.flatten_labels(samples, "labels").where("id % 10 = 2").select(F.col("id").alias("label_id"))
+    return O.label_owners(samples, "labels", wanted.unionByName(wanted.select((-F.col("label_id")).alias("label_id"))))
+
+
+@register(f"WITH {_LABELLED} SELECT sample_id, min(id * 7919 % 100003) AS rank FROM l WHERE label = 'R' GROUP BY 1")
+def samples_by_first_label(spark, d):
+    flat = O.flatten_labels(_labelled(spark, d), "labels")
+    ranks = flat.where("label = 'R'").select("id", (F.col("id") * 7919 % 100003).alias("rank"))
+    return O.samples_by_first_label(ranks, flat.select(F.col("id").alias("label_id"), "sample_id"))
+
+
+@register(f"WITH {_LABELLED} SELECT o_orderkey AS sample_id, (o_orderkey % 97)::BIGINT AS pos, id FROM orders LEFT JOIN (SELECT sample_id, id FROM l WHERE label = 'R') ON o_orderkey = sample_id")
+def labels_of_reference(spark, d):
+    """Labels in the order of given samples; samples without any stay."""
+    flat = O.flatten_labels(_labelled(spark, d), "labels").where("label = 'R'").select("sample_id", "id")
+    return O.labels_of(_t(spark, d, "orders").select(F.col("o_orderkey").alias("sample_id"), (F.col("o_orderkey") % 97).alias("pos")), flat)
+
+
+# The public calls ------------------------------------------------------------------------------
+
+
+class _TextModel:
+    """Length and number of a's; prompts are embedded like contents."""
+
+    def __call__(self, texts: list) -> list:
+        return [[float(len(t)), float(t.count("a"))] for t in texts]
+
+    def embed_prompts(self, prompts: list[str]) -> list:
+        return self(prompts)
+
+
+_TEXTS = "e AS (SELECT doc_id AS id, [length(text)::DOUBLE, (length(text) - length(replace(text, 'a', '')))::DOUBLE] AS v FROM documents WHERE text IS NOT NULL)"
+
+
+@register(_top(_FROM_0[0], where=_FROM_0[1]))
+def api_similarity(spark, d):
+    """A field's vectors to an index to the rows nearest to an id."""
+    return A.compute_similarity(_t(spark, d, "embeddings"), id_col="vec_id", embeddings="embedding").sort_by_similarity(0, k=10)
+
+
+@register(_top("round(list_distance(e.v, [400.0::DOUBLE, 20.0::DOUBLE]), 9)", ctes=_TEXTS, source="e"))
+def api_model_index(spark, d):
+    """Vectors by a model, queried by a vector."""
+    index = A.compute_similarity(_t(spark, d, "documents"), id_col="doc_id", model=_TextModel, content="text", metric="euclidean")
+    return index.sort_by_similarity([400.0, 20.0], k=10)
+
+
+@register(_top("round(list_distance(e.v, [24.0::DOUBLE, 2.0::DOUBLE]), 9)", ctes=_TEXTS, source="e"))
+def api_prompt_query(spark, d):
+    index = A.compute_similarity(_t(spark, d, "documents"), id_col="doc_id", model=_TextModel, content="text", metric="euclidean")
+    return index.sort_by_similarity("a prompt of many letters", k=10)
+
+
+@register(f"WITH {_TEXTS} SELECT id, list_sum(v) AS total FROM e WHERE id % 2 = 1")
+def api_compute_embeddings(spark, d):
+    """Vectors of the rows that an index lacks, by its own model."""
+    docs = _t(spark, d, "documents")
+    index = A.compute_similarity(docs.where("doc_id % 2 = 0"), id_col="doc_id", model=_TextModel, content="text", metric="euclidean")
+    return index.compute_embeddings(docs, id_col="doc_id", skip_existing=True).select("id", _total())
+
+
+@register(f"WITH {_LABELLED}, v AS (SELECT sample_id, avg(confidence) AS x, avg(n::DOUBLE) AS y FROM l GROUP BY 1) SELECT sample_id AS id, round(x, 9) AS x, round(y, 9) AS y FROM v")
+def api_region_pooling(spark, d):
+    """Samples by the mean of their regions' vectors."""
+    samples = _labelled(spark, d).withColumn("labels", F.transform("labels", lambda l: F.struct(l["id"].alias("id"), F.array(l["confidence"], (l["id"] % 10).cast("double")).alias("embedding"))))
+    index = A.compute_similarity(samples, id_col="sample_id", embeddings="labels.embedding", regions="labels")
+    return index.index.rows.select("id", F.round(F.get("embedding", 0), 9).alias("x"), F.round(F.get("embedding", 1), 9).alias("y"))
+
+
+@register(f"WITH RECURSIVE {DUPS_}, s AS (SELECT vec_id AS id, label::VARCHAR AS split FROM embeddings) SELECT d.id, s.split, d.nearest_id, t.split AS nearest_split, d.dist FROM dups d JOIN s ON d.id = s.id JOIN s t ON d.nearest_id = t.id WHERE d.type = 'duplicate' AND s.split <> t.split")
+def api_leaky_splits(spark, d):
+    """Leaks between the values of a field."""
+    return A.compute_leaky_splits(_t(spark, d, "embeddings"), "label", DUP, id_col="vec_id", embeddings="embedding", warn=False)[2]
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

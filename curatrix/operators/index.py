@@ -219,6 +219,16 @@ def build_index(df: DataFrame, id_col: str, vec_col: str, *, sample_id_col: str
     return SimilarityIndex(rows.where("id is not null and embedding is not null"), metric=metric, center=center)
 
 
+def same_ids(a: DataFrame, b: DataFrame) -> bool:
+    """Whether ``a(id)`` and ``b(id)`` hold the same ids."""
+    return a.select("id").join(b.select("id"), "id", "left_anti").isEmpty() and b.select("id").join(a.select("id"), "id", "left_anti").isEmpty()
+
+
+def ordered_distinct(df: DataFrame, order: str = "pos") -> DataFrame:
+    """``id`` and the first ``order`` of each, in that order."""
+    return df.groupBy("id").agg(F.min(order).alias(order)).orderBy(order, "id")
+
+
 def select_ordered(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """Rows of ``df`` in the order of ``ids(id, pos)``; repeated requests repeat rows."""
     return df.join(ids.select(F.col("id").alias(id_col), F.col("pos").alias("request_pos")), id_col).orderBy("request_pos")

@@ -48,5 +48,23 @@ class Runs:
             raise ValueError(f"run {new!r} exists")
         self._fs.rename(self._at(key), self._at(new))
 
-    def cleanup(self, key: str) -> None:
+    def cleanup(self, key: str, samples: DataFrame | None = None) -> DataFrame | None:
+        """Delete a run; ``samples`` come back without the fields that it wrote."""
+        out = samples if samples is None else samples.drop(*self.fields(key).values())
         self._fs.delete(self._at(key), True)
+        return out
+
+    def fields(self, key: str) -> dict[str, str]:
+        """The samples' fields that a run wrote, by what they hold."""
+        return self.config(key).get("fields", {})
+
+    def rename_fields(self, key: str, new: dict[str, str], samples: DataFrame) -> DataFrame:
+        """``samples`` with a run's fields renamed, as its configuration is."""
+        config = self.config(key)
+        old = config.get("fields", {})
+        out = samples
+        for what, name in new.items():
+            out = out.withColumnRenamed(old[what], name)
+        config["fields"] = old | new
+        self.spark.createDataFrame([(json.dumps(config, sort_keys=True),)], "config string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{key}/config")
+        return out

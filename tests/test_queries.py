@@ -31,7 +31,7 @@ def test_unique_subset_is_spread(spark):
 
 def test_umap_lays_out_the_whole_index(spark, monkeypatch):
     """All rows are fitted; none is placed among others."""
-    monkeypatch.setattr(catalog.Z.Projection, "add", None)
+    monkeypatch.setattr(catalog.Z, "_placed", None)
     assert catalog.queries()["umap_projection"](spark, SF).count() == 500
 
 
