@@ -20,12 +20,21 @@ _shipped: set[str] = set()
 _local_scratch: dict[str, str] = {}
 
 
+#: Bytes of an Arrow batch, where the session has Spark's default: a batch lies in the JVM and in the worker at once.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(4 << 20))
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in every Python worker of ``spark``.
+    """Make this package importable in every Python worker of ``spark``, and keep batches small.
 
     Functions handed to ``mapInArrow`` are pickled by reference, so workers need
     the package.  It is zipped once per application and served by the driver.
+    Batches to workers are bounded by ``BATCH_BYTES`` unless the session sets a
+    bound of its own.
     """
+    key, default, small = BATCH_BYTES
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, small)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
