@@ -88,7 +88,7 @@ def _sign(classes: np.ndarray, shingle: int, coordinates: int) -> Callable:
         xor, times = (c[:, None] for c in _coefficients(coordinates))
         number = np.arange(coordinates, dtype=np.uint64) << np.uint64(40)
         for batch in batches:
-            for block in K.blocks(batch.column(2), 4 << 20):
+            for block in K.blocks(batch.column(2)):
                 w = K.words(block, classes)
                 h = K.word_hashes(block, w)
                 sizes, digests, keys, marks = [], [], [], []
@@ -227,7 +227,7 @@ def _sets(classes: np.ndarray, shingle: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for block in K.blocks(batch.column(4), 4 << 20):
+            for block in K.blocks(batch.column(4)):
                 rows = len(block.bounds) - 1
                 own = batch.slice(block.first, rows)
                 w = K.words(block, classes)
