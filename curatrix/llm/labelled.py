@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import zlib
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:  # workers import this module and need no pandas
+    import pandas as pd
+
 
 def fold(modulus: int) -> Column:
     """crc32 of the decimal ``doc_id`` modulo ``modulus``; a null one reads as the empty text."""

@@ -30,7 +30,7 @@ from curatrix.llm import labelled, workers
 from curatrix.session import ship_package
 
 DIM, SIGNS, WINDOW, SLOTS = 48, 4, 2, 1 << 16
-HIDDEN, STEP = 24, 65_536
+HIDDEN, STEP = 24, 16_384
 
 
 class Model(NamedTuple):

@@ -9,6 +9,7 @@ memory back to the system when it ends.
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,6 +24,7 @@ def claim(owner: str, release: Callable[[], None]) -> None:
     for _, free in _held:
         free()
     _held[:] = [(owner, release)]
+    gc.collect()  # tables may refer to themselves
     tidy()
 
 
