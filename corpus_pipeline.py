@@ -44,7 +44,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Workers still hold what earlier stages left, so the encoder remembers less.
     """
-    return packing.pack_documents(docs, end_id=0, size=2048, include_ids=False)
+    return packing.pack_documents(docs, end_id=0, size=2048, include_ids=False, cached=600_000)
 
 
 STAGES = [("quality", keep_good), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_benchmark_passages), ("secrets", redact_secrets), ("packing", pack)]
