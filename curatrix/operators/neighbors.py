@@ -27,8 +27,10 @@ from curatrix.plans.profiles import PROFILES
 from curatrix.session import materialize, ship_package
 
 BLOCK = 2048
-#: Rows of a task's side at most: 8 MB of 64-dimensional vectors.
-TILE = 16_384
+#: Rows of a task's side at most: 32 MB of 64-dimensional vectors.
+TILE = 65_536
+#: Pairs that are decided in double precision at a time, and rows of a batch of results.
+PAIRS = 65_536
 AGGREGATIONS = ("mean", "post-mean", "post-min", "post-max")
 
 
@@ -54,6 +56,146 @@ def pairwise(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.round(d, V.PLACES)
 
 
+def _products(a: np.ndarray, b: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, Callable] | None:
+    """Single-precision factors whose products rank pairs by distance, and ``cut(dist)``.
+
+    ``cut(dist)`` is a product, one for each row of ``a``, that no pair within
+    ``dist`` falls below: it leaves room for the rounding of single precision and of
+    distances.  What passes is decided by ``_exact``.  None for metrics that are no
+    products, and for vectors too long for single precision.
+    """
+    room = (a.shape[1] + 16) * 1.2e-7
+    if metric == "cosine":
+        parts = []
+        for x in (a, b):
+            length = np.linalg.norm(x, axis=1, keepdims=True)
+            if not np.isfinite(length).all():
+                return None
+            parts.append((x / np.where(length > 0, length, 1)).astype(np.float32))
+        return *parts, lambda dist: (1 - np.asarray(dist) - room - 1e-8) + np.zeros(len(a))
+    if metric not in ("euclidean", "dotproduct", "innerproduct") or not len(a) or not len(b):
+        return None
+    if metric == "euclidean":
+        shift = a.mean(0)
+        a, b = a - shift, b - shift
+    size_a, size_b = (a**2).sum(1), (b**2).sum(1)
+    top_a, top_b = size_a.max(), size_b.max()
+    if not (top_a < 1e30 and top_b < 1e30):
+        return None
+    if metric != "euclidean":
+        slack = room * (top_a * top_b) ** 0.5 + 1e-8
+        return a.astype(np.float32), b.astype(np.float32), lambda dist: (-np.asarray(dist) - slack) + np.zeros(len(a))
+    slack = room * (top_a**0.5 + top_b**0.5) ** 2
+    left = np.concatenate([a, np.ones((len(a), 1))], 1).astype(np.float32)
+    right = np.concatenate([b, -size_b[:, None] / 2], 1).astype(np.float32)
+
+    def cut(dist) -> np.ndarray:
+        reach = np.asarray(dist) + 1e-8
+        return np.where(reach < 0, np.inf, (size_a - reach**2) / 2 - slack)
+
+    return left, right, cut
+
+
+def _exact(a: np.ndarray, b: np.ndarray, row: np.ndarray, col: np.ndarray, metric: str) -> np.ndarray:
+    """``pairwise`` of the given pairs only (of metrics that ``_products`` knows), a slice of them at a time."""
+    out = np.empty(len(row))
+    for at in range(0, len(row), PAIRS):
+        x, y = a[row[at : at + PAIRS]], b[col[at : at + PAIRS]]
+        if metric == "euclidean":
+            d = np.sqrt(((x - y) ** 2).sum(1))
+        else:
+            d = -np.einsum("ij,ij->i", x, y)
+            if metric == "cosine":
+                length = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
+                d = np.where(length > 0, 1 + d / np.where(length > 0, length, 1), np.inf)
+        out[at : at + PAIRS] = np.round(d, V.PLACES)
+    return out
+
+
+def _candidates(a: np.ndarray, b: np.ndarray, product: np.ndarray | None, cut: np.ndarray | None, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``row, col, dist`` of the pairs whose product reaches ``cut``; of all pairs without products."""
+    if product is not None:
+        found = product >= cut[:, None]
+        many = np.count_nonzero(found)
+        if many <= found.size // 8:
+            at = np.flatnonzero(found)
+            row, col = at // len(b), at % len(b)
+            return row, col, _exact(a, b, row, col, metric)
+    d = pairwise(a, b, metric)
+    row, col = np.nonzero(np.isfinite(d) if product is None else found)
+    return row, col, d[row, col]
+
+
+def pairs_within(a: np.ndarray, b: np.ndarray, thresh: float, metric: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``row, col, dist`` of all pairs within ``thresh``, a block of ``BLOCK`` rows and columns at a time."""
+    form = _products(a, b, metric)
+    cut = None if form is None else form[2](thresh).astype(np.float32)
+    for i in range(0, len(a), BLOCK):
+        for j in range(0, len(b), BLOCK):
+            x, y = a[i : i + BLOCK], b[j : j + BLOCK]
+            product = None if form is None else form[0][i : i + BLOCK] @ form[1][j : j + BLOCK].T
+            row, col, dist = _candidates(x, y, product, None if cut is None else cut[i : i + BLOCK], metric)
+            keep = dist <= thresh
+            if keep.any():
+                yield row[keep] + i, col[keep] + j, dist[keep]
+
+
+def nearest_of(a: np.ndarray, b: np.ndarray, ai: np.ndarray, bi: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``row, col, dist`` of the ``k`` nearest rows of ``b`` for each row of ``a``, ties by id; equal ids are no pair.
+
+    Columns are gone through in blocks.  Once a row has k neighbours, only products
+    that reach the worst of them are looked at.
+    """
+    form = _products(a, b, metric)
+    out = []
+    for i in range(0, len(a), BLOCK):
+        x, xi = a[i : i + BLOCK], ai[i : i + BLOCK]
+        row, col, dist = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        worst = np.full(len(x), np.inf)
+        for j in range(0, len(b), BLOCK):
+            y = b[j : j + BLOCK]
+            product = cut = None
+            if form is not None:
+                product = form[0][i : i + BLOCK] @ form[1][j : j + BLOCK].T
+                bound = np.full(len(a), np.inf)
+                bound[i : i + BLOCK] = worst
+                cut = form[2](bound)[i : i + BLOCK]
+                new = np.isinf(worst)
+                if new.any() and k + 1 < len(y):  # a row's own id may be among the k + 1 best
+                    least = np.partition(product[new], len(y) - k - 1, axis=1)[:, len(y) - k - 1]
+                    far = _farthest(x[new], y, product[new], least, metric)
+                    cut[new] = form[2](_spread(len(a), i, new, far))[i : i + BLOCK][new]
+                cut = cut.astype(np.float32)
+            r, c, d = _candidates(x, y, product, cut, metric)
+            keep = (d <= worst[r]) & np.isfinite(d) & (xi[r] != bi[c + j])
+            row, col, dist = (np.concatenate([u, v]) for u, v in ((row, r[keep]), (col, c[keep] + j), (dist, d[keep])))
+            order = np.lexsort((bi[col], dist, row))
+            row, col, dist = row[order], col[order], dist[order]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, col, dist = row[best], col[best], dist[best]
+            last = np.searchsorted(row, np.arange(len(x)), "right")
+            full = np.bincount(row, minlength=len(x)) == k
+            worst[full] = dist[last[full] - 1]
+        out.append((row + i, col, dist))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    return tuple(np.concatenate(parts) for parts in zip(*out, strict=True))
+
+
+def _farthest(x: np.ndarray, y: np.ndarray, product: np.ndarray, least: np.ndarray, metric: str) -> np.ndarray:
+    """The largest exact distance among the pairs of each row whose product reaches ``least``; that of none is infinite."""
+    row, col = np.nonzero(product >= least[:, None])
+    far = np.full(len(x), -np.inf)
+    np.maximum.at(far, row, _exact(x, y, row, col, metric))
+    return far
+
+
+def _spread(n: int, at: int, where: np.ndarray, values: np.ndarray) -> np.ndarray:
+    out = np.full(n, np.inf)
+    out[at + np.flatnonzero(where)] = values
+    return out
+
+
 def _matrix(table: pa.Table) -> np.ndarray:
     column = table.column("embedding").combine_chunks()
     return column.flatten().to_numpy().reshape(len(column), -1)
@@ -71,18 +213,19 @@ def tile_rows(rows: int, parallel: int) -> int:
 
 
 def _block_pairs(index: SimilarityIndex, kernel: Callable, schema: T.StructType, half: bool, queries: DataFrame | None = None) -> DataFrame:
-    """Apply ``kernel(queries, points, same_block)`` to all pairs of blocks; with ``half`` to one of each mirrored pair.
+    """Apply ``kernel(queries, points, same_tile)`` to all pairs of tiles; with ``half`` to one of each mirrored pair.
 
     Rows are hashed into tiles; a task gets a pair of tiles and goes through
     their blocks of ``BLOCK`` rows, so its memory is two tiles and one product of
-    two blocks, and a vector is copied once for each tile it meets.
+    two blocks, and a vector is copied once for each tile it meets.  What a kernel
+    yields leaves the task at once.
     """
     ship_package(index.base.sparkSession)
     index.dimensions  # noqa: B018  raises for unlike lengths
     points = index.centred().select("id", "pos", "embedding")
     asked = points if queries is None else queries.select("id", "pos", "embedding")
     parallel = index.base.sparkSession.sparkContext.defaultParallelism
-    size = points.count()
+    size = index.size()
     n = max(1, -(-size // tile_rows(size, parallel)))
     if queries is None:
         m = n
@@ -96,41 +239,31 @@ def _block_pairs(index: SimilarityIndex, kernel: Callable, schema: T.StructType,
     q = asked.withColumn("_q", tile(m)).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_side", F.lit(0))
     p = points.withColumn("_p", tile(n)).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumn("_side", F.lit(1))
     both = q.unionByName(p)
-    if half:
-        both = both.where("_q <= _p")
-
-    def run(table: pa.Table) -> pa.Table:
-        side = table.column("_side").to_numpy()
-        a, b = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
-        same = table.column("_q")[0].as_py() == table.column("_p")[0].as_py()
-        parts = [kernel(x, y, same) for x in _cut(a) for y in _cut(b)]
-        return pa.concat_tables([kernel(a.slice(0, 0), b.slice(0, 0), same), *parts])
+    if half:  # a tile that meets itself comes once and is both sides
+        both = both.where("_q < _p or (_q = _p and _side = 0)")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        same = half and table.column("_q")[0].as_py() == table.column("_p")[0].as_py()
+        if same:
+            a = b = table
+        else:
+            side = table.column("_side").to_numpy()
+            a, b = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
+        del table
+        if a.num_rows and b.num_rows:
+            for part in kernel(a, b, same):
+                yield from part.to_batches(max_chunksize=PAIRS)
 
     return both.groupBy("_q", "_p").applyInArrow(run, schema)
 
 
-def _cut(table: pa.Table) -> list[pa.Table]:
-    return [table.slice(at, BLOCK) for at in range(0, table.num_rows, BLOCK)]
-
-
 def _nearest(k: int, metric: str) -> Callable:
-    """Kernel of the ``k`` nearest points of each query of a block: ``query_id, id, dist``."""
-
-    def kernel(a: pa.Table, b: pa.Table, same: bool) -> pa.Table:
-        names = ["query_id", "id", "dist"]
-        if not a.num_rows or not b.num_rows:
-            return pa.Table.from_arrays([a.column("id").slice(0, 0), b.column("id").slice(0, 0), pa.array([], pa.float64())], names)
-        d = pairwise(_matrix(a), _matrix(b), metric)
-        ai, bi = _ids(a), _ids(b)
-        d[ai[:, None] == bi[None, :]] = np.inf
-        top = min(k, len(bi))
-        row, col = np.nonzero((d <= np.partition(d, top - 1, axis=1)[:, top - 1 : top]) & np.isfinite(d))
-        order = np.lexsort((bi[col], d[row, col], row))
-        row, col = row[order], col[order]
-        first = np.searchsorted(row, row)
-        keep = np.arange(len(row)) - first < top
-        row, col = row[keep], col[keep]
-        return pa.Table.from_arrays([a.column("id").take(pa.array(row)), b.column("id").take(pa.array(col)), pa.array(d[row, col])], names)
+    """Kernel of the ``k`` nearest points of each query of a tile: ``query_id, id, dist``."""
+
+    def kernel(a: pa.Table, b: pa.Table, same: bool) -> Iterator[pa.Table]:
+        row, col, dist = nearest_of(_matrix(a), _matrix(b), _ids(a), _ids(b), k, metric)
+        yield pa.Table.from_arrays([a.column("id").take(pa.array(row)), b.column("id").take(pa.array(col)), pa.array(dist)], ["query_id", "id", "dist"])
 
     return kernel
 
@@ -207,9 +340,13 @@ def kneighbors_cells(index: SimilarityIndex, k: int, queries: DataFrame | None =
     columns = ["_c", "_q", "_p", "_side", "id", "pos", "embedding"]
     kernel = _nearest(k, index.metric)
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
         side = table.column("_side").to_numpy()
-        return kernel(table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1)), False)
+        a, b = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
+        if a.num_rows and b.num_rows:
+            for part in kernel(a, b, False):
+                yield from part.to_batches(max_chunksize=PAIRS)
 
     return _best(q.select(*columns).unionByName(p.select(*columns)).groupBy("_c", "_q", "_p").applyInArrow(run, schema), k)
 
@@ -217,20 +354,16 @@ def kneighbors_cells(index: SimilarityIndex, k: int, queries: DataFrame | None =
 def _within(thresh: float, metric: str) -> Callable:
     """Kernel of all pairs within ``thresh``: ``id_a, id_b, dist``, the row that comes first in the index as a."""
 
-    def kernel(a: pa.Table, b: pa.Table, same: bool) -> pa.Table:
-        names = ["id_a", "id_b", "dist"]
-        if not a.num_rows or not b.num_rows:
-            return pa.Table.from_arrays([a.column("id").slice(0, 0), b.column("id").slice(0, 0), pa.array([], pa.float64())], names)
-        d = pairwise(_matrix(a), _matrix(b), metric)
+    def kernel(a: pa.Table, b: pa.Table, same: bool) -> Iterator[pa.Table]:
         (ai, bi), (ap, bp) = (_ids(a), _ids(b)), (t.column("pos").to_numpy() for t in (a, b))
-        row, col = np.nonzero(d <= thresh)
-        before = (ap[row] < bp[col]) | ((ap[row] == bp[col]) & (ai[row] < bi[col]))
-        # A tile with itself meets every pair twice.
-        keep = before if same else ai[row] != bi[col]
-        row, col, before = row[keep], col[keep], before[keep]
-        x, y = a.column("id").take(pa.array(row)), b.column("id").take(pa.array(col))
-        turn = pa.chunked_array([pa.array(before)])
-        return pa.Table.from_arrays([pc.if_else(turn, x, y), pc.if_else(turn, y, x), pa.array(d[row, col])], names)
+        for row, col, dist in pairs_within(_matrix(a), _matrix(b), thresh, metric):
+            before = (ap[row] < bp[col]) | ((ap[row] == bp[col]) & (ai[row] < bi[col]))
+            # A tile with itself meets every pair twice.
+            keep = before if same else ai[row] != bi[col]
+            row, col, dist, before = row[keep], col[keep], dist[keep], before[keep]
+            x, y = a.column("id").take(pa.array(row)), b.column("id").take(pa.array(col))
+            turn = pa.chunked_array([pa.array(before)])
+            yield pa.Table.from_arrays([pc.if_else(turn, x, y), pc.if_else(turn, y, x), pa.array(dist)], ["id_a", "id_b", "dist"])
 
     return kernel
 
@@ -294,12 +427,15 @@ def _cell_pairs(index: SimilarityIndex, kernel: Callable, schema: T.StructType,
     dealt = dealt.withColumn("_q", F.when(F.col("_side") == 0, F.col("_own")).otherwise(F.col("_other"))).withColumn("_p", F.when(F.col("_side") == 0, F.col("_other")).otherwise(F.col("_own")))
     dealt = dealt.where("_i <> _j or _q <= _p").select("_i", "_j", "_q", "_p", "_side", "id", "pos", "embedding")
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
         side = table.column("_side").to_numpy()
         a, b = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
         first = table.slice(0, 1).to_pylist()[0]
         same = first["_i"] == first["_j"] and first["_q"] == first["_p"]
-        return pa.concat_tables([kernel(a.slice(0, 0), b.slice(0, 0), same), *(kernel(x, y, same) for x in _cut(a) for y in _cut(b))])
+        if a.num_rows and b.num_rows:
+            for part in kernel(a, b, same):
+                yield from part.to_batches(max_chunksize=PAIRS)
 
     return dealt.groupBy("_i", "_j", "_q", "_p").applyInArrow(run, schema)
 
