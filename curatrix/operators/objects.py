@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curatrix.functions import vectors as V
-from curatrix.functions.boxes import iou
 from curatrix.operators import scores
 from curatrix.session import ship_package
 
@@ -120,28 +122,121 @@ def pool(rows: DataFrame, *, sample_id: str = "sample_id", embedding: str = "emb
     return kept.select(sample_id, V.vector(embedding).alias("embedding")).groupBy(sample_id).applyInPandas(run, f"`{sample_id}` {kind}, embedding array<double>")
 
 
-def match_boxes(gt: DataFrame, pred: DataFrame, *, limit: float = 0.5) -> DataFrame:
-    """``sample_id, gt_id, pred_id, iou``: one-to-one matches, whatever the classes.
-
-    Inputs are ``(sample_id, id, bounding_box[, confidence])``.  Pairs that
-    overlap by ``limit`` come from an equi-join on the sample; then predictions
-    take, by falling confidence, the free box that they overlap most, in one fold
-    over a sample's ordered pairs.  Ties go to the smaller id.
+#: Rows that are matched at once, and pairs whose overlap is computed at once; a sample is never cut.
+ROWS, PAIRS = 65_536, 1_000_000
+_SIDES = ("_x", "_y", "_w", "_h")
+
+
+def _overlaps(box: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``boxes.iou`` of rows ``i`` and ``j`` of ``box``, rounded; like there, missing numbers are left out of minima and maxima."""
+    a, b = box[i].T, box[j].T
+    w = np.fmin(a[0] + a[2], b[0] + b[2]) - np.fmax(a[0], b[0])
+    h = np.fmin(a[1] + a[3], b[1] + b[3]) - np.fmax(a[1], b[1])
+    both = np.fmax(w, 0.0) * np.fmax(h, 0.0)
+    union = a[2] * a[3] + b[2] * b[3] - both
+    found = union > 0
+    return np.round(np.where(found, both / np.where(found, union, 1.0), 0.0), V.PLACES)
+
+
+def _one_to_one(group: np.ndarray, side: np.ndarray, box: np.ndarray, confidence: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``gt, pred, iou`` by row: of rows in the order of their group, side (0: ground truth) and id."""
+    gt, pred = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    first, last = (np.searchsorted(group[pred], group[gt], s) for s in ("left", "right"))
+    many = last - first
+    ends = np.cumsum(many)
+    parts, at = [], 0
+    while at < len(gt):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        n = many[at:to]
+        j = pred[np.arange(n.sum()) + np.repeat(first[at:to] - (np.cumsum(n) - n), n)]
+        i = np.repeat(gt[at:to], n)
+        iou = _overlaps(box, i, j)
+        keep = iou >= limit
+        parts.append((i[keep], j[keep], iou[keep]))
+        at = to
+    if not parts:
+        return gt[:0], gt[:0], np.empty(0)
+    i, j, iou = (np.concatenate(z) for z in zip(*parts, strict=True))
+    alone = (np.bincount(i, minlength=len(side))[i] == 1) & (np.bincount(j, minlength=len(side))[j] == 1)
+    chosen = alone.copy()
+    if not alone.all():  # by falling confidence, then id; the box that overlaps most, then the smaller id
+        least = np.where(np.isnan(confidence), np.inf, -confidence)
+        free = np.ones(len(side), bool)
+        for k in np.lexsort((i, -iou, j, least[j])).tolist():
+            if not alone[k] and free[i[k]] and free[j[k]]:
+                free[i[k]] = free[j[k]] = False
+                chosen[k] = True
+    return i[chosen], j[chosen], iou[chosen]
+
+
+def matched_objects(gt: DataFrame, pred: DataFrame, *, limit: float = 0.5, own: tuple[str, ...] = (), theirs: tuple[str, ...] = ()) -> DataFrame:
+    """``sample_id, side, gt_id, pred_id, iou``: a row a ground-truth object with its match, if any, and one a prediction without.
+
+    ``own`` are further columns of the ground truth (as ``gt_<name>``), ``theirs`` of
+    the predictions (as ``pred_<name>``).  Both tables are shuffled once, by sample, and
+    each task matches the samples of a stretch of its rows together.
     """
-    g = gt.select("sample_id", F.col("id").alias("gt_id"), F.col("bounding_box").alias("g"))
-    p = pred.select("sample_id", F.col("id").alias("pred_id"), F.col("confidence").alias("c"), F.col("bounding_box").alias("p"))
-    pairs = g.join(p, "sample_id").select("sample_id", "gt_id", "pred_id", "c", F.round(iou(F.col("g"), F.col("p")), V.PLACES).alias("iou")).where(F.col("iou") >= limit)
+    ship_package(gt.sparkSession)
+    sides = [F.get("bounding_box", k).cast("double").alias(n) for k, n in enumerate(_SIDES)]
+    kinds = {"gt_id": gt.schema["id"].dataType, "pred_id": pred.schema["id"].dataType}
+    kinds |= {f"gt_{c}": gt.schema[c].dataType for c in own} | {f"pred_{c}": pred.schema[c].dataType for c in theirs}
+    names = list(kinds)
+
+    def side(df: DataFrame, prefix: str, k: int, confidence: Column) -> DataFrame:
+        mine = [F.col(n.removeprefix(prefix)).alias(n) if n.startswith(prefix) else F.lit(None).cast(kinds[n]).alias(n) for n in names]
+        return df.select("sample_id", F.lit(k).cast("byte").alias("side"), *mine, confidence.alias("_c"), *sides)
+
+    both = side(gt, "gt_", 0, F.lit(None).cast("double")).unionByName(side(pred, "pred_", 1, F.col("confidence").cast("double")))
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in both.schema.fields if f.name in ("sample_id", "side")), *(T.StructField(n, kinds[n]) for n in names), T.StructField("iou", T.DoubleType())])
+
+    def match(table: pa.Table, group: np.ndarray) -> pa.Table:
+        side = table.column("side").to_numpy()
+        box = np.stack([table.column(n).to_numpy() for n in _SIDES], 1)
+        i, j, iou = _one_to_one(group, side, box, table.column("_c").to_numpy(), limit)
+        other, over, taken = np.full(len(side), -1), np.full(len(side), np.nan), np.zeros(len(side), bool)
+        other[i], over[i], taken[j] = j, iou, True
+        rows = np.flatnonzero((side == 0) | ~taken)
+        other, over = other[rows], over[rows]
+        at = pa.array(np.where((other < 0) & (side[rows] == 1), rows, other), mask=(other < 0) & (side[rows] == 0))
+        columns = [table.column(n).take(pa.array(rows) if not n.startswith("pred_") else at) for n in schema.names[:-1]]
+        return pa.Table.from_arrays([*columns, pa.array(over, mask=other < 0)], schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count, goal = 0, ROWS
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count < goal:
+                continue
+            table, group = _grouped(held)
+            last = int(np.searchsorted(group, group[-1]))  # the last sample may go on
+            if last:
+                yield from match(table.slice(0, last), group[:last]).to_batches()
+            held, count = table.slice(last).to_batches(), len(group) - last
+            goal = max(ROWS, 2 * count)
+        if count:
+            yield from match(*_grouped(held)).to_batches()
+
+    return both.repartition("sample_id").sortWithinPartitions("sample_id", "side", "gt_id", "pred_id").mapInArrow(run, schema)
+
+
+def _grouped(batches: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+    """Rows, and the number of each row's sample among them; a null sample is one row."""
+    table = pa.Table.from_batches(batches).combine_chunks()
+    ids = table.column("sample_id").combine_chunks()
+    same = pc.fill_null(pc.equal(ids.slice(1), ids.slice(0, len(ids) - 1)), False)
+    return table, np.concatenate([[0], np.cumsum(~same.to_numpy(zero_copy_only=False))])
 
-    best = F.struct(F.coalesce(-F.col("c"), F.lit(float("inf"))).alias("o"), "pred_id", (-F.col("iou")).alias("far"), "gt_id")
-    lists = pairs.groupBy("sample_id").agg(F.sort_array(F.collect_list(best)).alias("x"))
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-    none = F.array().cast(f"array<struct<gt_id:{kinds['gt_id']},pred_id:{kinds['pred_id']},iou:double>>")
 
-    def take(done: Column, x: Column) -> Column:
-        own = F.struct(x["gt_id"].alias("gt_id"), x["pred_id"].alias("pred_id"), (-x["far"]).alias("iou"))
-        return F.when(F.exists(done, lambda y: (y["gt_id"] == x["gt_id"]) | (y["pred_id"] == x["pred_id"])), done).otherwise(F.concat(done, F.array(own)))
+def match_boxes(gt: DataFrame, pred: DataFrame, *, limit: float = 0.5) -> DataFrame:
+    """``sample_id, gt_id, pred_id, iou``: one-to-one matches, whatever the classes.
 
-    return lists.select("sample_id", F.explode(F.aggregate("x", none, take)).alias("m")).select("sample_id", "m.*")
+    Inputs are ``(sample_id, id, bounding_box[, confidence])``.  Of the pairs of a
+    sample that overlap by ``limit``, predictions take, by falling confidence, the
+    free box that they overlap most.  Ties go to the smaller id.
+    """
+    return matched_objects(gt, pred, limit=limit).where("iou is not null").select("sample_id", "gt_id", "pred_id", "iou")
 
 
 def object_mistakenness(gt: DataFrame, pred: DataFrame, *, limit: float = 0.5, confident: float = 0.95, use_logits: bool = False) -> DataFrame:
@@ -152,20 +247,15 @@ def object_mistakenness(gt: DataFrame, pred: DataFrame, *, limit: float = 0.5, c
     (``side = 'pred'``) over ``confident`` are possibly missing from the ground
     truth; other predictions are left out.
     """
-    m = match_boxes(gt, pred, limit=limit)
-    g = gt.select("sample_id", F.col("id").alias("gt_id"), F.col("label").alias("gt_label"))
-    p = pred.select("sample_id", F.col("id").alias("pred_id"), F.col("label").alias("pred_label"), "confidence", (F.col("logits") if use_logits else F.lit(None).cast("array<double>")).alias("logits"))
-    c = F.exp(-scores.hardness(F.col("logits"))) if use_logits else F.col("confidence")
-    matched = g.join(m, ["sample_id", "gt_id"], "left").join(p, ["sample_id", "pred_id"], "left")
-    found = F.col("pred_id").isNotNull()
-    own = matched.select(
-        "sample_id", F.col("gt_id").alias("id"), F.lit("gt").alias("side"),
+    score = "logits" if use_logits else "confidence"
+    m = matched_objects(gt, pred, limit=limit, own=("label",), theirs=("label", score))
+    c = F.exp(-scores.hardness(F.col("pred_logits"))) if use_logits else F.col("pred_confidence")
+    found, own = F.col("iou").isNotNull(), F.col("side") == 0
+    return m.where(own | (c > confident)).select(
+        "sample_id", F.when(own, F.col("gt_id")).otherwise(F.col("pred_id")).alias("id"), F.when(own, "gt").otherwise("pred").alias("side"),
         F.when(found, (F.when(F.col("pred_label") == F.col("gt_label"), -1.0).otherwise(1.0) * c + 1) / 2).alias("mistakenness"),
-        F.when(found, scores.location_mistakenness(F.col("iou"), c, limit)).alias("mistakenness_loc"), (~found).alias("possible_spurious"), F.lit(False).alias("possible_missing"),
+        F.when(found, scores.location_mistakenness(F.col("iou"), c, limit)).alias("mistakenness_loc"), (own & ~found).alias("possible_spurious"), (~own).alias("possible_missing"),
     )
-    lost = p.join(m.select("sample_id", "pred_id"), ["sample_id", "pred_id"], "left_anti").where(c > confident)
-    none = F.lit(None).cast("double")
-    return own.unionByName(lost.select("sample_id", F.col("pred_id").alias("id"), F.lit("pred").alias("side"), none.alias("mistakenness"), none.alias("mistakenness_loc"), F.lit(False).alias("possible_spurious"), F.lit(True).alias("possible_missing")))
 
 
 def sample_mistakenness(samples: DataFrame, objects: DataFrame) -> DataFrame:
