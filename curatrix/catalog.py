@@ -539,7 +539,8 @@ SELECT sample_id, round(coalesce(max(CASE WHEN hit THEN (CASE WHEN label = plabe
   count(*) FILTER (NOT hit AND c > 0.95) AS n_missing, count(*) FILTER (NOT hit) AS n_spurious FROM m GROUP BY sample_id""")
 def sample_mistakenness(spark, d):
     gt, pred = _boxes(spark, d)
-    out = O.sample_mistakenness(gt.select("sample_id").distinct(), O.object_mistakenness(gt, pred))
+    samples = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("sample_id")).distinct()
+    out = O.sample_mistakenness(samples, O.object_mistakenness(gt, pred))
     return out.withColumn("mistakenness", F.round("mistakenness", 9))
 
 
